@@ -64,4 +64,56 @@ FROM ruled
 """
 
 
-ORACLE = {"op2_quality_divergence": _quality(), "op5_decontaminate": _OP5, "op7_line_dedup": _OP7}
+_OP4 = """
+WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+whole AS (SELECT conv_id, count(*) AS n, list([role, text] ORDER BY turn, role, text) AS ts,
+                 string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat FROM rows GROUP BY conv_id),
+one AS (SELECT ts, n, chat, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY ts, n, chat)
+SELECT conv_id, n AS n_turns, n_copies, chat FROM one
+WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.n > one.n AND w.ts[1:one.n] = one.ts)
+"""
+
+_OP6 = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+one AS (SELECT b, count(*) AS c FROM places GROUP BY b),
+two AS (SELECT a, b, count(*) AS c FROM places WHERE a IS NOT NULL GROUP BY a, b),
+total AS (SELECT sum(c) AS n FROM one),
+scored AS (SELECT p.doc_id, p.a IS NOT NULL AND two.c < 2 AS back,
+             CASE WHEN p.a IS NULL THEN ln(CAST(o.c AS DOUBLE) / total.n) WHEN two.c >= 2 THEN ln(CAST(two.c AS DOUBLE) / oa.c)
+                  ELSE ln(CAST(0.4 AS DOUBLE)) + ln(CAST(o.c AS DOUBLE) / total.n) END AS s
+           FROM places p JOIN one o ON o.b = p.b LEFT JOIN two ON two.a = p.a AND two.b = p.b LEFT JOIN one oa ON oa.b = p.a, total),
+sums AS (SELECT doc_id, count(*) AS n, sum(CAST(back AS INTEGER)) AS k, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_backoff, round(s / n, 6) AS mean_score FROM documents d LEFT JOIN sums USING (doc_id)
+"""
+
+_OP10 = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i - 1 AS lo, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+held AS (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+found AS (SELECT doc_id, lo FROM windows SEMI JOIN held ON windows.h = held.h),
+marked AS (SELECT doc_id, lo, CASE WHEN lo - lag(lo) OVER (PARTITION BY doc_id ORDER BY lo) <= 50 THEN 0 ELSE 1 END AS new,
+                  least(50, coalesce(lo - lag(lo) OVER (PARTITION BY doc_id ORDER BY lo), 50)) AS gain FROM found)
+SELECT doc_id, CAST(sum(new) AS BIGINT) AS n_spans, CAST(sum(gain) AS BIGINT) AS n_repeated, min(lo) AS first_start, max(lo) + 50 AS last_end FROM marked GROUP BY doc_id
+"""
+
+_OP8 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)
+             UNION SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT r.a AS doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
+"""
+
+ORACLE = {
+    "op2_quality_divergence": _quality(),
+    "op4_chat_collapse": _OP4,
+    "op5_decontaminate": _OP5,
+    "op6_stupid_backoff": _OP6,
+    "op7_line_dedup": _OP7,
+    "op8_jaccard_join": _OP8,
+    "op10_suffix_dedup": _OP10,
+}

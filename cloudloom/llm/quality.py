@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, SPACE
+from .shared import NOT_SPACE, SPACE, written
 
 # Frequent words of the languages, as they are written in lower case.
 COMMON_WORDS = """
@@ -66,30 +66,36 @@ def class_counts() -> Column:
 def with_histograms(df: DataFrame) -> DataFrame:
     """__c: class counts; __h: (word, count) of the common words that occur; __m: how many words are common."""
     common = F.filter(F.transform("__w", F.lower), lambda x: x.isin(COMMON_WORDS))
-    df = df.withColumn("__c", class_counts()).withColumn("__s", F.array_sort(common)).withColumn("__m", F.size("__s"))
+    df = df.withColumn("__c", class_counts()).withColumn("__s", F.sort_array(common)).withColumn("__m", F.size("__s"))
     df = df.withColumn("__b", F.expr("filter(sequence(1, greatest(__m, 1)), i -> i <= __m AND (i = 1 OR __s[i - 1] <> __s[greatest(i - 2, 0)]))"))
     at = "transform(__b, (x, i) -> struct(__s[x - 1] AS w, CAST(CASE WHEN i + 1 < size(__b) THEN __b[least(i + 1, size(__b) - 1)] ELSE __m + 1 END - x AS BIGINT) AS n))"
     return df.withColumn("__h", F.expr(at)).drop("__s", "__b")
 
 
+def histogram_sums(docs: DataFrame) -> DataFrame:
+    """(lang, k, v): documents (k = #docs), words (#words), characters by class (#0 ...) and common words, summed in one pass."""
+    df = with_histograms(with_words(docs.select("lang", "text")))
+    cell = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("long").alias("v"))
+    fixed = [cell("#docs", F.lit(1)), cell("#words", F.size("__w")), *[cell(f"#{i}", F.col("__c")[i]) for i in range(len(CLASSES) + 1)]]
+    words = F.transform("__h", lambda x: F.struct(x["w"].alias("k"), x["n"].alias("v")))
+    cells = df.select("lang", F.explode(F.concat(F.array(*fixed), words)).alias("x"))
+    return cells.groupBy("lang", F.col("x.k").alias("k")).agg(F.sum("x.v").alias("v"))
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """(lang, docs, classes, words): shares by class and by common word of each language; lang null is all documents."""
-    df = with_histograms(with_words(docs.select("lang", "text"))).select("lang", "__c", "__h", F.size("__w").cast("long").alias("__n"))
-    k = len(CLASSES) + 1
-    sums = [F.sum(F.col("__c")[i]).alias(f"c{i}") for i in range(k)]
-    by = df.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("__n").alias("n"), *sums)
-    of_word = df.select("lang", F.explode("__h").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("c"))
-    words = of_word.groupBy("lang").agg(F.collect_list(F.struct("w", "c")).alias("ws")).withColumnRenamed("lang", "__l")
-    own = by.where(F.col("lang").isNotNull()).join(words, F.col("lang") == F.col("__l"), "left")
-    own = own.select("lang", "docs", "n", F.array(*[f"c{i}" for i in range(k)]).alias("cs"), "ws")
-    total = by.agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.array(*[F.sum(f"c{i}") for i in range(k)]).alias("cs"))
-    summed = of_word.groupBy("w").agg(F.sum("c").alias("c")).agg(F.collect_list(F.struct("w", "c")).alias("ws"))
-    everything = total.crossJoin(summed).select(F.lit(None).cast("string").alias("lang"), "docs", "n", "cs", "ws")  # one row each
-    top = own.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).unionByName(everything)
-    whole = F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x)
-    classes = F.transform("cs", lambda x: x / F.greatest(whole, F.lit(1)))
-    shares = F.transform(F.coalesce("ws", F.array().cast("array<struct<w:string,c:bigint>>")), lambda x: F.struct(x["w"].alias("w"), (x["c"] / F.greatest("n", F.lit(1))).alias("q")))
-    return top.select("lang", classes.alias("classes"), F.map_from_entries(shares).alias("words"))
+    """(lang, classes, words): shares by class and by common word of each language; lang null is all documents."""
+    sums = written(histogram_sums(docs), "histograms")  # a few hundred rows by language
+    by_key = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    own = by_key(sums.where(F.col("lang").isNotNull()).groupBy("lang"))
+    own = own.orderBy(F.desc(F.col("m")["#docs"]), "lang").limit(MAX_LANGUAGES)
+    everything = by_key(sums.groupBy("k").agg(F.sum("v").alias("v"))).select(F.lit(None).cast("string").alias("lang"), "m")
+    refs = own.unionByName(everything)
+    amount = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0).cast("long"))
+    counts = F.array(*[amount(f"#{i}") for i in range(len(CLASSES) + 1)])
+    refs = refs.withColumn("cs", counts).withColumn("n", F.greatest(amount("#words"), F.lit(1)))
+    refs = refs.withColumn("whole", F.greatest(F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1)))
+    words = F.transform_values(F.map_filter("m", lambda k, v: ~k.startswith("#")), lambda k, v: v / F.col("n"))
+    return written(refs.select("lang", F.transform("cs", lambda x: x / F.col("whole")).alias("classes"), words.alias("words")), "references")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -117,10 +123,10 @@ def judged(
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     # 3-word windows: positions of equal windows are found by sorting (hash, start); a text without any skips the sort
     df = df.withColumn("__g", F.expr("transform(CASE WHEN size(__w) >= 3 THEN sequence(0, size(__w) - 3) ELSE array() END, i -> xxhash64(__w[i], __w[i + 1], __w[i + 2]))"))
-    pairs = "array_sort(transform(__g, (x, i) -> struct(x AS h, i AS i)))"
+    pairs = "sort_array(transform(__g, (x, i) -> struct(x AS h, i AS i)))"
     df = df.withColumn("__o", F.expr(f"CASE WHEN size(array_distinct(__g)) < size(__g) THEN {pairs} ELSE array() END"))
     twice = "filter(__o, (x, k) -> (k > 0 AND __o[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(__o) AND __o[least(k + 1, size(__o) - 1)].h = x.h))"
-    df = df.withColumn("__r", F.expr(f"array_sort(transform({twice}, x -> x.i))"))
+    df = df.withColumn("__r", F.expr(f"sort_array(transform({twice}, x -> x.i))"))
     cover = "aggregate(transform(__r, (x, k) -> CASE WHEN k = 0 THEN 3 ELSE least(3, x - __r[greatest(k - 1, 0)]) END), 0L, (a, x) -> a + x)"
     df = df.withColumn("n_repeat_words", F.expr(cover).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -38,3 +38,10 @@ def ascii_lower(c):
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(
         F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+def public_tokenizer(name: str) -> str:
+    """Path of an installed public vocabulary file; the same on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

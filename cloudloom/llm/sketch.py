@@ -1,0 +1,72 @@
+"""Fixed-size hash counts over a whole input: partial counts in each task, summed in two levels of bounded groups."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PART = 1 << 16
+PARTIAL = "part int, salt int, blob binary"
+
+
+def partials(counts: np.ndarray, seed: int) -> Iterator[tuple[int, int, bytes]]:
+    """The parts of a task's counts that are not zero."""
+    for k in range(0, len(counts), PART):
+        if (part := counts[k : k + PART]).any():
+            yield k // PART, seed % 64, zlib.compress(part.tobytes(), 1)
+
+
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(PART, np.int64)
+    for blob in pdf["blob"]:
+        total += np.frombuffer(zlib.decompress(blob), np.uint32)
+    blob = zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "salt": [0], "blob": [blob]})
+
+
+def total(parts: DataFrame, bits: int) -> np.ndarray:
+    """Counts of all tasks, saturated at 65535: at most 2^bits numbers of two bytes reach the driver, whatever the input."""
+    some = parts.groupBy("part", "salt").applyInPandas(_sum, PARTIAL)
+    out = np.zeros(max(1 << bits, PART), np.uint16)
+    for row in some.groupBy("part").applyInPandas(_sum, PARTIAL).toLocalIterator():
+        part = np.frombuffer(zlib.decompress(row["blob"]), np.uint32)
+        out[row["part"] * PART : (row["part"] + 1) * PART] = np.minimum(part, 65535)
+    return out[: 1 << bits]
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    from .kernel import mix
+
+    return mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def id_filter(ids: DataFrame, bits: int = 22) -> np.ndarray:
+    """Packed flags of 2^bits slots, set where one of the ids (column id) falls: a Bloom filter of fixed size."""
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            slots = mixed(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)) >> np.uint64(64 - bits)
+            counts[slots] = 1
+        rows = list(partials(counts, int(counts.sum())))
+        yield batch_of(rows)
+
+    return np.packbits(total(ids.select(F.col("id").cast("long")).mapInArrow(flags, PARTIAL), bits) > 0)
+
+
+def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, salt, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(salt, pa.int32()), pa.array(blob, pa.binary())], names=["part", "salt", "blob"])
+
+
+def may_hold(flags: np.ndarray, ids: np.ndarray, bits: int = 22) -> np.ndarray:
+    slots = mixed(ids) >> np.uint64(64 - bits)
+    return (flags[slots >> np.uint64(3)] >> (np.uint64(7) - (slots & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+

@@ -1,7 +1,62 @@
-"""The corpus pipeline, placeholder until its stages exist."""
-STAGES = []
+"""The corpus pipeline: quality rules, line deduplication, near-duplicate removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. SQL cannot tokenise, so ORACLE_SQL is None; the tests hold
+the pipeline against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cloudloom.llm.decontaminate import decontaminated
+from cloudloom.llm.jaccard_join import one_of_each
+from cloudloom.llm.line_dedup import dedup_lines
+from cloudloom.llm.packing import pack
+from cloudloom.llm.quality import judged
+from cloudloom.llm.shared import public_tokenizer, table, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return judged(docs).where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds."""
+    return dedup_lines(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group linked by 0.8 Jaccard similarity of five-word shingles."""
+    return one_of_each(docs, size=5, num=80, den=100)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, packed."""
+    return pack(docs, public_tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("best_fit_packing", sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
