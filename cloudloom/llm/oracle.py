@@ -59,7 +59,7 @@ facts AS (SELECT z.doc_id, z.n AS n_words, length(z.t) - z.c[5] AS word_chars, z
 ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND (chars < 200 OR char_js <= CAST(0.25 AS DOUBLE)) AND (n_words < 50 OR word_js <= CAST(0.40 AS DOUBLE)) AS kept
+       NOT base_failed AND (chars < 200 OR char_js <= CAST(0.25 AS DOUBLE)) AND (n_words < 50 OR word_js <= CASE WHEN n_words < 400 THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.28 AS DOUBLE) END) AS kept
 FROM ruled
 """
 

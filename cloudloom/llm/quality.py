@@ -5,7 +5,8 @@ and the last. The method compares two histograms of a text with the references o
 histograms of all documents of that language:
 
 * character classes (CLASSES and the rest), if the text has at least ``min_chars`` characters;
-* common words (COMMON_WORDS and the rest), if the text has at least ``min_words`` words.
+* common words (COMMON_WORDS and the rest), if the text has at least ``min_words`` words. From ``long_words`` words on,
+  where a clean text's histogram has little noise left, the limit is a tighter one.
 
 Too short a text is not compared (the minimum-length guard). A text is kept if it passed the base rule and neither
 distance, from 0 to 1, is over its limit.
@@ -44,47 +45,42 @@ CLASSES = {
 MAX_LANGUAGES = 1000
 
 
-def token_array(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+", -1), lambda x: x != "")
-
-
-def _left(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("__t", text).withColumn("__w", token_array(F.col("__t")))
-
-
-def class_counts() -> Column:
-    """Counts of CLASSES in order, and of all other characters."""
-    named = [_left(F.col("__t"), p) for p in CLASSES.values()]
-    return F.array(*named, F.length("__t").cast("long") - sum(named, F.lit(0)))
+    """__t: the text without blanks at its ends, which change no count but that of blanks; __w: its words."""
+    df = docs.withColumn("__x", F.coalesce(F.col("text"), F.lit(""))).withColumn("__t", F.btrim("__x", F.lit(BLANKS)))
+    return df.withColumn("__w", F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", SPACE + "+", -1)))
 
 
 def with_histograms(df: DataFrame) -> DataFrame:
-    """__c: class counts; __h: (word, count) of the common words that occur; __m: how many words are common."""
+    """__c: counts of CLASSES in order, and of all other characters; __h: (word, count) of the common words that occur;
+    __m: how many words are common."""
+    for name, pattern in CLASSES.items():
+        df = df.withColumn(f"__{name}", F.length(F.regexp_replace("__x", pattern, "")).cast("long"))
+    named = [F.col(f"__{name}") for name in CLASSES]
+    df = df.withColumn("__chars", F.length("__x").cast("long"))
+    df = df.withColumn("__c", F.array(*named, F.col("__chars") - sum(named, F.lit(0)))).drop(*[f"__{name}" for name in CLASSES])
     common = F.filter(F.transform("__w", F.lower), lambda x: x.isin(COMMON_WORDS))
-    df = df.withColumn("__c", class_counts()).withColumn("__s", F.sort_array(common)).withColumn("__m", F.size("__s"))
+    df = df.withColumn("__s", F.sort_array(common)).withColumn("__m", F.size("__s"))
     df = df.withColumn("__b", F.expr("filter(sequence(1, greatest(__m, 1)), i -> i <= __m AND (i = 1 OR __s[i - 1] <> __s[greatest(i - 2, 0)]))"))
     at = "transform(__b, (x, i) -> struct(__s[x - 1] AS w, CAST(CASE WHEN i + 1 < size(__b) THEN __b[least(i + 1, size(__b) - 1)] ELSE __m + 1 END - x AS BIGINT) AS n))"
     return df.withColumn("__h", F.expr(at)).drop("__s", "__b")
 
 
-def histogram_sums(docs: DataFrame) -> DataFrame:
-    """(lang, k, v): documents (k = #docs), words (#words), characters by class (#0 ...) and common words, summed in one pass."""
-    df = with_histograms(with_words(docs.select("lang", "text")))
+def histogram_sums(measured: DataFrame) -> DataFrame:
+    """(lang, k, v): documents (k = #docs), words (#words), characters by class (#0 ...) and common words, in one aggregate."""
     cell = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("long").alias("v"))
-    fixed = [cell("#docs", F.lit(1)), cell("#words", F.size("__w")), *[cell(f"#{i}", F.col("__c")[i]) for i in range(len(CLASSES) + 1)]]
+    fixed = [cell("#docs", F.lit(1)), cell("#words", F.col("n_words")), *[cell(f"#{i}", F.col("__c")[i]) for i in range(len(CLASSES) + 1)]]
     words = F.transform("__h", lambda x: F.struct(x["w"].alias("k"), x["n"].alias("v")))
-    cells = df.select("lang", F.explode(F.concat(F.array(*fixed), words)).alias("x"))
+    cells = measured.select(F.col("__lang").alias("lang"), F.explode(F.concat(F.array(*fixed), words)).alias("x"))
     return cells.groupBy("lang", F.col("x.k").alias("k")).agg(F.sum("x.v").alias("v"))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """(lang, classes, words): shares by class and by common word of each language; lang null is all documents."""
-    sums = written(histogram_sums(docs), "histograms")  # a few hundred rows by language
+    sums = written(histogram_sums(measured), "histograms")  # a few hundred rows by language
     by_key = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     own = by_key(sums.where(F.col("lang").isNotNull()).groupBy("lang"))
     own = own.orderBy(F.desc(F.col("m")["#docs"]), "lang").limit(MAX_LANGUAGES)
@@ -109,17 +105,17 @@ def _distance(divergence: Column) -> Column:
     return F.sqrt(F.least(F.greatest(divergence, F.lit(0.0)), F.lit(1.0)))
 
 
-def judged(
-    docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.40, min_chars: int = 200, min_words: int = 50
-) -> DataFrame:
-    """docs and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_js, word_js, kept."""
-    refs = references(docs)
-    extra = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_js", "word_js", "kept"]
-    df = with_histograms(with_words(docs.drop(*extra)))
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+VERDICTS = ["char_js", "word_js", "kept"]
+
+
+def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns carry of docs, RESULTS and the histograms of each row."""
+    df = with_histograms(with_words(docs.select("*", F.col("lang").alias("__lang")).drop(*RESULTS, *VERDICTS)))
     df = df.withColumn("n_words", F.size("__w").cast("long"))
-    df = df.withColumn("word_chars", F.length("__t").cast("long") - F.col("__c")[list(CLASSES).index("space")])
+    df = df.withColumn("word_chars", F.col("__chars") - F.col("__c")[list(CLASSES).index("space")])
     df = df.withColumn("n_symbols", F.col("__c")[list(CLASSES).index("symbol")])
-    df = df.withColumn("__lines", F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(NOT_SPACE)))
+    df = df.withColumn("__lines", F.filter(F.split("__x", "\n", -1), lambda x: x.rlike(NOT_SPACE)))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     # 3-word windows: positions of equal windows are found by sorting (hash, start); a text without any skips the sort
     df = df.withColumn("__g", F.expr("transform(CASE WHEN size(__w) >= 3 THEN sequence(0, size(__w) - 3) ELSE array() END, i -> xxhash64(__w[i], __w[i + 1], __w[i + 2]))"))
@@ -130,12 +126,23 @@ def judged(
     cover = "aggregate(transform(__r, (x, k) -> CASE WHEN k = 0 THEN 3 ELSE least(3, x - __r[greatest(k - 1, 0)]) END), 0L, (a, x) -> a + x)"
     df = df.withColumn("n_repeat_words", F.expr(cover).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return df.select(*carry, *RESULTS, "__lang", "__chars", "__c", "__h", "__m")
+
+
+def judged(
+    docs: DataFrame, carry: list[str] | None = None, char_limit: float = 0.25, word_limit: float = 0.45, long_limit: float = 0.28, min_chars: int = 200, min_words: int = 50, long_words: int = 400
+) -> DataFrame:
+    """The columns carry of docs (all, if None), RESULTS and VERDICTS. The measures are taken once and written to the
+    shared folder: the references are summed from them, and the verdicts drawn from both."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS + VERDICTS]
+    df = written(measures(docs, carry), "measures")
+    refs = references(df)
     ref = F.broadcast(refs.select(F.col("lang").alias("__l"), F.col("classes").alias("__qc"), F.col("words").alias("__qw")))
-    df = df.join(ref.where(F.col("__l").isNotNull()), F.col("lang") == F.col("__l"), "left")
+    df = df.join(ref.where(F.col("__l").isNotNull()), F.col("__lang") == F.col("__l"), "left")
     rest = ref.where(F.col("__l").isNull()).select(F.col("__qc").alias("__ac"), F.col("__qw").alias("__aw"))
     df = df.crossJoin(F.broadcast(rest))  # one row
     df = df.withColumn("__qc", F.coalesce("__qc", "__ac")).withColumn("__qw", F.coalesce("__qw", "__aw"))
-    chars = F.greatest(F.length("__t"), F.lit(1))
+    chars = F.greatest("__chars", F.lit(1))
     by_class = F.zip_with("__c", "__qc", lambda c, q: _term(c / chars, q))
     df = df.withColumn("char_js", _distance(F.aggregate(by_class, F.lit(0.0), lambda a, x: a + x)))
     n = F.greatest("n_words", F.lit(1))
@@ -145,7 +152,7 @@ def judged(
     q_all = F.aggregate(F.map_values("__qw"), F.lit(0.0), lambda a, x: a + x)
     other = _term((n - F.col("__m")) / n, F.lit(1.0) - q_all)
     df = df.withColumn("word_js", _distance(seen + (q_all - q_seen) / 2 + other))
-    chars_ok = (F.length("__t") < min_chars) | (F.col("char_js") <= char_limit)
-    words_ok = (F.col("n_words") < min_words) | (F.col("word_js") <= word_limit)
+    chars_ok = (F.col("__chars") < min_chars) | (F.col("char_js") <= char_limit)
+    words_ok = (F.col("n_words") < min_words) | (F.col("word_js") <= F.when(F.col("n_words") < long_words, word_limit).otherwise(long_limit))
     df = df.withColumn("kept", ~F.col("base_failed") & chars_ok & words_ok)
-    return df.select(*[df[c] for c in docs.columns if c not in extra], *extra)
+    return df.select(*carry, *RESULTS, *VERDICTS)

@@ -26,7 +26,7 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    out = judged(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
