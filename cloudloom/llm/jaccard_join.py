@@ -12,8 +12,9 @@ Two texts link when den * |A & B| >= num * |A | B|, A and B their sets of distin
    component, and is then done; a list is done once the rest of it lies in one component. What is left after ROUNDS is
    joined pair by pair. So a group of near copies costs rows in proportion to its size, and no link between components
    is lost: a pair is left out only where both sides are connected already.
-5. Each pair is verified once: a suffix filter (the bound on the overlap from counts by hash range) and then the exact
-   intersection. Components of the verified links follow.
+5. Each pair is verified once: by the suffix filter (the bound on the overlap from counts by hash range, which every
+   class carries as BUCKETS bytes), and, for the few pairs that pass it, by the exact intersection of their sets, which
+   are read again from one text of each class. Components of the verified links follow.
 
 A text with fewer words than ``size`` has its whole sequence as one shingle; a text without words, or null, has none
 and links with nothing. Rows that share a doc_id are apart, but meet through it in component_id only if they link.
@@ -39,7 +40,8 @@ from .shared import written
 SHORT = 16
 ROUNDS = 3
 SKETCH_BITS = 21
-PROFILE = f"doc_id long, n int, cid long, {sketch.PARTIAL}"
+BUCKETS = 64
+PROFILE = f"doc_id long, n int, cid long, sig binary, {sketch.PARTIAL}"
 ENTRY = "token long, cid long, n int, pos int"
 SETS = "doc_id long, cid long, shingles binary"
 
@@ -61,6 +63,12 @@ def class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Counts by hash range, 255 meaning that many or more."""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _columns(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     named = [x.split() for x in schema.split(", ")]
@@ -80,11 +88,11 @@ def profiles(size: int):
                 every = np.concatenate(sets)
                 counts += np.bincount((every >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 crc = zlib.crc32(offsets.tobytes(), crc)
-                yield _columns(PROFILE, ids[rows], [len(s) for s in sets], [class_id(s) for s in sets], [None] * k, [None] * k, [None] * k)
+                yield _columns(PROFILE, ids[rows], [len(s) for s in sets], [class_id(s) for s in sets], [signature(s) for s in sets], [None] * k, [None] * k, [None] * k)
         if made := list(sketch.partials(counts, crc)):
             part, salt, blob = zip(*made, strict=True)
             nil = [None] * len(made)
-            yield _columns(PROFILE, nil, nil, nil, part, salt, blob)
+            yield _columns(PROFILE, nil, nil, nil, nil, part, salt, blob)
 
     return run
 
@@ -127,20 +135,31 @@ def chosen_sets(size: int, flags):
     return run
 
 
+def suffix_filter(num: int, den: int):
+    """Pairs (a, b) of the columns a, b, m, n, x, y whose sizes m, n and counts x, y by hash range allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            m, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+            least = np.minimum(x, y)
+            bound = np.where((least == 255).any(axis=1), np.minimum(m, n), least.sum(axis=1, dtype=np.int64))
+            yield batch.select([0, 1]).filter(pa.array((num + den) * bound >= num * (m + n)))
+
+    return run
+
+
 def verifier(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.uint64(58)
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             left, right = batch.column(2), batch.column(3)
             for i in range(len(batch)):
                 x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                need = num * (len(x) + len(y))
-                bound = np.minimum(np.bincount((x >> top).astype(np.int64), minlength=64), np.bincount((y >> top).astype(np.int64), minlength=64)).sum()
-                if (num + den) * int(bound) < need:
-                    continue
                 both = np.sort(np.concatenate((x, y)))
-                keep[i] = (num + den) * int((both[1:] == both[:-1]).sum()) >= need
+                keep[i] = (num + den) * int((both[1:] == both[:-1]).sum()) >= num * (len(x) + len(y))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
@@ -154,10 +173,21 @@ def _may_link(x: str, y: str, num: int, den: int) -> str:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link. classes has (cid, doc_id, n, sig), doc_id being one text of the class."""
+    side = lambda k, n, sig: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("sig").alias(sig))
+    near = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    near = written(near.mapInArrow(suffix_filter(num, den), "a long, b long"), "near")
+    wanted = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    wanted = written(wanted.join(classes, "cid").select("cid", "doc_id"), "wanted")
+    flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(wanted.select(F.col("doc_id").alias("id"))))
+    found = docs.mapInArrow(chosen_sets(size, flags), SETS)
+    same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["cid"] == wanted["cid"])
+    sets = written(found.join(wanted, same).select(found["cid"], "shingles"), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verifier(num, den), "a long, b long")
+    links = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verifier(num, den), "a long, b long")
+    return written(links.distinct(), "links")
 
 
 def _short_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,20 +202,17 @@ def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Dat
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     made = written(docs.mapInArrow(profiles(size), PROFILE), "profiles")
     profile = made.where(F.col("cid").isNotNull()).select("doc_id", "n", "cid")
+    one = F.min_by(F.struct("doc_id", "n", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
+    classes = written(made.where("n > 0").groupBy("cid").agg(one).select("cid", "one.*"), "classes")
     counts = spark.sparkContext.broadcast(sketch.total(made.where(F.col("part").isNotNull()).select("part", "salt", "blob"), SKETCH_BITS))
     entries = docs.mapInArrow(prefixes(size, num, den, counts), ENTRY).repartition("token")
-    several = entries.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("token")
+    # the aggregate reads all columns, so that it shares the exchange of the entries
+    several = entries.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("n"), F.min("pos").alias("p"))
+    several = several.where("x <> y AND n > 0 AND p >= 0").select("token")
     entries = written(entries.join(several, "token", "left_semi").distinct(), "entries")
     lists = entries.groupBy("token").agg(F.count("*").alias("size"))
     sized = written(entries.join(lists, "token"), "lists")
-    # the sets of all classes in some list, read from one text of each class
-    reps = profile.where(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    reps = written(entries.select("cid").distinct().join(reps, "cid"), "reps")
-    flags = spark.sparkContext.broadcast(sketch.id_filter(reps.select(F.col("doc_id").alias("id"))))
-    found = docs.mapInArrow(chosen_sets(size, flags), SETS)
-    same = found["doc_id"].eqNullSafe(reps["doc_id"]) & (found["cid"] == reps["cid"])
-    sets = written(found.join(reps, same).select(found["cid"], "shingles"), "sets")
-    links = written(_verified(_short_pairs(sized.where(F.col("size") <= SHORT), num, den), sets, num, den).distinct(), "pairs")
+    links = _verified(_short_pairs(sized.where(F.col("size") <= SHORT), num, den), docs, classes, size, num, den)
     long_lists = sized.where(F.col("size") > SHORT).drop("size")
     label = components(links)
     if not long_lists.isEmpty():
@@ -202,8 +229,7 @@ def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Dat
                 near = other.where(f"y.label <> y.p.label AND {_may_link('y', 'y.p', num, den)}").select(F.expr("least(y.cid, y.p.cid)").alias("a"), F.expr("greatest(y.cid, y.p.cid)").alias("b"))
             else:
                 near = known.alias("x").join(other, F.expr(f"x.token = y.token AND x.cid < y.cid AND x.label <> y.label AND {_may_link('x', 'y', num, den)}")).select(F.expr("x.cid").alias("a"), F.expr("y.cid").alias("b"))
-            new = written(_verified(near.distinct(), sets, num, den).distinct(), "pairs")
-            links = links.unionByName(new)
+            links = links.unionByName(_verified(near.distinct(), docs, classes, size, num, den))
             label = components(links)
             rest = known.where(F.col("cid") != F.col("p.cid")).select("token", "cid", "n", "pos")
     label = label.withColumnRenamed("node", "cid")
