@@ -8,10 +8,10 @@ Two texts link when den * |A & B| >= num * |A | B|, A and B their sets of distin
 3. The first n - ceil(num/den * n) + 1 shingles of each class are shuffled once, by shingle. Shingles that one class
    alone holds leave at once.
 4. Lists of up to SHORT classes give all their pairs that pass the length and positional filters. A longer list is worked
-   through in rounds: its class with the rarest-free prefix is compared with every other class that is not yet in its
-   component, and is then done; a list is done once the rest of it lies in one component. What is left after ROUNDS is
-   joined pair by pair. So a group of near copies costs rows in proportion to its size, and no link between components
-   is lost: a pair is left out only where both sides are connected already.
+   through in ROUNDS rounds: its class with the least shingles before the common one, so with the least changes, is
+   compared with every other class that is not yet known to be connected with it, and is then done. Of what is left, all
+   pairs of classes not known to be connected are taken. So a group of near copies costs rows in proportion to its size,
+   and no link between components is lost: a pair is left out only where both sides are connected already.
 5. Each pair is verified once: by the suffix filter (the bound on the overlap from counts by hash range, which every
    class carries as BUCKETS bytes), and, for the few pairs that pass it, by the exact intersection of their sets, which
    are read again from one text of each class. Components of the verified links follow.
@@ -38,7 +38,7 @@ from .components import components
 from .shared import written
 
 SHORT = 16
-ROUNDS = 3
+ROUNDS = 2
 SKETCH_BITS = 21
 BUCKETS = 64
 PROFILE = f"doc_id long, n int, cid long, sig binary, {sketch.PARTIAL}"
@@ -166,10 +166,10 @@ def verifier(num: int, den: int):
 
 
 def _may_link(x: str, y: str, num: int, den: int) -> str:
-    """Length filter and positional filter, for a shingle at x.pos and y.pos."""
+    """Length filter and positional filter, for a shingle at pos of two classes whose columns have the prefixes x and y."""
     return (
-        f"{den}L * least({x}.n, {y}.n) >= {num}L * greatest({x}.n, {y}.n) AND "
-        f"{num + den}L * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {num}L * ({x}.n + {y}.n)"
+        f"{den}L * least({x}n, {y}n) >= {num}L * greatest({x}n, {y}n) AND "
+        f"{num + den}L * least({x}n - {x}pos, {y}n - {y}pos) >= {num}L * ({x}n + {y}n)"
     )
 
 
@@ -192,10 +192,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
 def _short_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     lists = entries.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos")).alias("l"))
-    inner = f"transform(filter(slice(l, i + 2, {SHORT}), y -> {_may_link('x', 'y', num, den)}), y -> struct(least(x.cid, y.cid) AS a, greatest(x.cid, y.cid) AS b))"
+    inner = f"transform(filter(slice(l, i + 2, {SHORT}), y -> {_may_link('x.', 'y.', num, den)}), y -> struct(least(x.cid, y.cid) AS a, greatest(x.cid, y.cid) AS b))"
     return lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> {inner}))")).alias("p")).select("p.*").distinct()
 
 
+def _one_hop(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest class within two links. Equal labels are connected; unequal ones may be."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+    through = both.join(least.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
+    return through.select("node", F.least("node", "label").alias("label"))
+
+
+def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
+    return entries.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
 def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs; component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -212,26 +224,27 @@ def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Dat
     entries = written(entries.join(several, "token", "left_semi").distinct(), "entries")
     lists = entries.groupBy("token").agg(F.count("*").alias("size"))
     sized = written(entries.join(lists, "token"), "lists")
-    links = _verified(_short_pairs(sized.where(F.col("size") <= SHORT), num, den), docs, classes, size, num, den)
-    long_lists = sized.where(F.col("size") > SHORT).drop("size")
+    pairs = _short_pairs(sized.where(F.col("size") <= SHORT), num, den)
+    rest, label, links = sized.where(F.col("size") > SHORT).drop("size"), None, None
+    for k in range(ROUNDS + 1):
+        known = rest.withColumn("label", F.col("cid")) if label is None else _labelled(rest, label)
+        p = F.min(F.struct("pos", "cid", "n", "label")).alias("p")
+        opened = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), p).where("x <> y").select("token", "p")
+        known = written(known.join(opened, "token"), "open")
+        if label is not None and known.isEmpty():
+            break
+        if k < ROUNDS:
+            near = known.where(f"label <> p.label AND {_may_link('', 'p.', num, den)}")
+            near = near.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
+        else:
+            near = known.alias("x").join(known.alias("y"), F.expr(f"x.token = y.token AND x.cid < y.cid AND x.label <> y.label AND {_may_link('x.', 'y.', num, den)}"))
+            near = near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        near = near if links is not None else near.unionByName(pairs)
+        new = _verified(near.distinct(), docs, classes, size, num, den)
+        links = new if links is None else links.unionByName(new)
+        label = written(_one_hop(links), "labels")
+        rest = known.where(F.col("cid") != F.col("p.cid")).select("token", "cid", "n", "pos")
     label = components(links)
-    if not long_lists.isEmpty():
-        rest = long_lists
-        for k in range(ROUNDS + 1):
-            known = rest.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            open_lists = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("pos", "cid", "n", "label")).alias("p"))
-            open_lists = open_lists.where("x <> y").select("token", "p")
-            known = written(known.join(open_lists, "token"), "open")
-            if known.isEmpty():
-                break
-            other = known.alias("y")
-            if k < ROUNDS:
-                near = other.where(f"y.label <> y.p.label AND {_may_link('y', 'y.p', num, den)}").select(F.expr("least(y.cid, y.p.cid)").alias("a"), F.expr("greatest(y.cid, y.p.cid)").alias("b"))
-            else:
-                near = known.alias("x").join(other, F.expr(f"x.token = y.token AND x.cid < y.cid AND x.label <> y.label AND {_may_link('x', 'y', num, den)}")).select(F.expr("x.cid").alias("a"), F.expr("y.cid").alias("b"))
-            links = links.unionByName(_verified(near.distinct(), docs, classes, size, num, den))
-            label = components(links)
-            rest = known.where(F.col("cid") != F.col("p.cid")).select("token", "cid", "n", "pos")
     label = label.withColumnRenamed("node", "cid")
     rows = profile.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = rows.where(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +15,29 @@ PARTIAL = "part int, salt int, blob binary"
 
 
 def partials(counts: np.ndarray, seed: int) -> Iterator[tuple[int, int, bytes]]:
-    """The parts of a task's counts that are not zero."""
+    """The parts of a task's counts that are not zero, as places and counts where most are zero."""
     for k in range(0, len(counts), PART):
-        if (part := counts[k : k + PART]).any():
-            yield k // PART, seed % 64, zlib.compress(part.tobytes(), 1)
+        part = counts[k : k + PART]
+        if len(at := np.flatnonzero(part)):
+            raw = part.tobytes() if len(at) > PART // 8 else at.astype(np.uint32).tobytes() + part[at].tobytes()
+            yield k // PART, seed % 64, zlib.compress(raw, 1)
+
+
+def _add(total: np.ndarray, blob: bytes) -> None:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint32)
+    if len(raw) == PART:
+        total += raw
+    else:
+        at, counts = raw.reshape(2, -1)
+        total[at] += counts
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(PART, np.int64)
     for blob in pdf["blob"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint32)
-    blob = zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "salt": [0], "blob": [blob]})
+        _add(total, blob)
+    made = partials(np.minimum(total, (1 << 32) - 1).astype(np.uint32), 0)
+    return pd.DataFrame([(pdf["part"].iloc[0], 0, blob) for _, _, blob in made], columns=["part", "salt", "blob"])
 
 
 def total(parts: DataFrame, bits: int) -> np.ndarray:
@@ -35,38 +45,39 @@ def total(parts: DataFrame, bits: int) -> np.ndarray:
     some = parts.groupBy("part", "salt").applyInPandas(_sum, PARTIAL)
     out = np.zeros(max(1 << bits, PART), np.uint16)
     for row in some.groupBy("part").applyInPandas(_sum, PARTIAL).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row["blob"]), np.uint32)
+        part = np.zeros(PART, np.int64)
+        _add(part, row["blob"])
         out[row["part"] * PART : (row["part"] + 1) * PART] = np.minimum(part, 65535)
     return out[: 1 << bits]
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    from .kernel import mix
-
-    return mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+def xxhash64(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit integers."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    h = np.uint64(42) + five + np.uint64(8) ^ turn(values.astype(np.int64).view(np.uint64) * two, 31) * one
+    h = turn(h, 27) * one + four
+    h ^= h >> np.uint64(33)
+    h *= two
+    h ^= h >> np.uint64(29)
+    h *= three
+    return h ^ h >> np.uint64(32)
 
 
 def id_filter(ids: DataFrame, bits: int = 22) -> np.ndarray:
-    """Packed flags of 2^bits slots, set where one of the ids (column id) falls: a Bloom filter of fixed size."""
-
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            slots = mixed(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)) >> np.uint64(64 - bits)
-            counts[slots] = 1
-        rows = list(partials(counts, int(counts.sum())))
-        yield batch_of(rows)
+    """2^bits flags in 64-bit words, set where one of the ids (column id) falls: a Bloom filter of fixed size.
 
-    return np.packbits(total(ids.select(F.col("id").cast("long")).mapInArrow(flags, PARTIAL), bits) > 0)
-
-
-def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, salt, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(salt, pa.int32()), pa.array(blob, pa.binary())], names=["part", "salt", "blob"])
+    One partial aggregate by word; at most 2^(bits - 6) rows reach the driver, whatever the input.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long"))), 64 - bits)
+    flag = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = ids.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(flag).alias("flags"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for batch in rows.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out.view(np.uint64)
 
 
 def may_hold(flags: np.ndarray, ids: np.ndarray, bits: int = 22) -> np.ndarray:
-    slots = mixed(ids) >> np.uint64(64 - bits)
-    return (flags[slots >> np.uint64(3)] >> (np.uint64(7) - (slots & np.uint64(7))).astype(np.uint8)) & 1 > 0
-
-
+    slots = xxhash64(ids) >> np.uint64(64 - bits)
+    return flags[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1) > 0
