@@ -136,7 +136,7 @@ def config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- structure text ---------------------------------------------------------------------------------------------------
 
 FIXED = "ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f"
-LOOSE = "ATOM %d CA ALA A %d %.3f %.3f %.3f %.2f %.2f"
+LOOSE = "ATOM  %5d  CA  ALA A %d %.3f %.3f %.3f %.2f %.2f"
 
 
 def _lines(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
