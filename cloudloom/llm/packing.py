@@ -13,8 +13,9 @@ lengths and on groups of sequences with equal rooms, and is the same as one made
 (at most ``capacity`` rows) reaches the driver; a piece finds its place from its rank among the pieces of its length.
 Ranks are counted in SALTS groups a length, so a length that a third of all pieces share is spread too.
 
-Words are tokenised once and kept by hash in each worker, which is exact: white space separates pre-tokens for this kind
-of tokenizer. Edge cases. Null or empty text: the end id alone. Repeated rows and doc_ids are packed as rows of their
+Words are tokenised once and kept by hash in each worker, which is exact for tokenizers that lower-case and that split at
+white space and between letters and punctuation: a comma or full stop after an ASCII letter is a word of its own, and
+words without "<", which can hold no special token, are kept by their lower-case form. Edge cases. Null or empty text: the end id alone. Repeated rows and doc_ids are packed as rows of their
 own, null doc_ids too. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from .shared import written
 
 SALTS = 64
 #: Words whose ids a worker keeps; it starts afresh beyond.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,12 +48,26 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.seps, self.values = kernel.separators("space"), kernel.byte_values(lower=False)
+        self.lowered = kernel.byte_values(lower=True)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.store, self.at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
+    @staticmethod
+    def _part(words: kernel.Words) -> None:
+        """Makes a comma or full stop that ends a word, after an ASCII letter, a word of its own."""
+        data, starts, ends = words.data, words.starts, words.ends
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)] | 0x20
+        tail = ((last == ord(",")) | (last == ord("."))) & (ends - starts > 1) & (before >= ord("a")) & (before <= ord("z"))
+        shift = np.concatenate(([0], np.cumsum(tail)))
+        place = np.arange(len(starts)) + shift[:-1]
+        new_starts, new_ends = (np.empty(len(starts) + shift[-1], np.int64) for _ in range(2))
+        new_starts[place], new_ends[place] = starts, ends - tail
+        new_starts[place[tail] + 1], new_ends[place[tail] + 1] = ends[tail] - 1, ends[tail]
+        words.starts, words.ends, words.first = new_starts, new_ends, words.first + shift[words.first]
+
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         ids = [e.ids for e in encoded]
@@ -64,7 +79,13 @@ class WordIds:
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and end)."""
         words = kernel.Words(data, offsets, self.seps)
-        unique, index, inverse = np.unique(words.hashes(self.values), return_index=True, return_inverse=True)
+        self._part(words)
+        hashes = words.hashes(self.lowered)
+        marks = np.concatenate(([0], np.cumsum(data == ord("<"))))
+        if marks[-1]:
+            special = marks[words.ends] > marks[words.starts]
+            hashes[special] = kernel.mix(words.hashes(self.values)[special])
+        unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEPT_WORDS:
             self._forget()
         keys, raw = unique.tolist(), data.tobytes()
