@@ -53,7 +53,8 @@ def parse_atoms(atom_lines: DataFrame, malformed: str = "fallback", atoms_only:
         raise ValueError(f"unknown rule {malformed!r}")
     line = F.col("line")
     record = line.startswith("ATOM") if atoms_only else line.startswith("ATOM") | line.startswith("HETATM")
-    ca = atom_lines.where(record & (F.trim(F.substring("line", 13, 4)) == "CA"))
+    wanted = record & (F.trim(F.substring("line", 13, 4)) == "CA")
+    ca = atom_lines.where(wanted)
     number = lambda n, kind: F.trim(_field(n)).try_cast(kind)
     fixed = F.struct(
         number("atom_serial", "int").alias("atom_serial"),
@@ -66,12 +67,13 @@ def parse_atoms(atom_lines: DataFrame, malformed: str = "fallback", atoms_only:
     numeric = [n for n in FIELDS if n not in ("residue_name", "chain_id", "insertion_code")]
     ca = ca.withColumn("f", fixed)
     good = ~F.exists(F.array(*[F.col("f")[n].isNull() for n in numeric]), lambda x: x)
+    # the error is raised under the same condition as the filter, which the optimizer may evaluate later
     if malformed == "skip":
         ca = ca.where(good)
     elif malformed == "strict":
-        ca = ca.withColumn("f", F.when(good, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("malformed atom line: "), line))))
+        ca = ca.withColumn("f", F.when(good, F.col("f")).when(wanted, F.raise_error(F.concat(F.lit("malformed atom line: "), line))))
     else:
-        ca = ca.withColumn("f", F.when(good, F.col("f")).otherwise(_by_tokens(line)))
+        ca = ca.withColumn("f", F.when(good, F.col("f")).when(wanted, _by_tokens(line)))
     position = F.row_number().over(_in_file()) - 1 + index_base
     return ca.select("protein_id", position.alias("residue_index"), "f.*")
 

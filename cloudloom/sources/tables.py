@@ -24,16 +24,19 @@ def annotations(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
 
     position and n_residues count all rows of a file; infinite and NaN values become null.
     """
-    schema = ", ".join(f"`{c}` {k}" for c, k in ANNOTATION.items())
-    first = spark.read.csv(folder, header=True, pathGlobFilter=pattern)
-    if missing := set(ANNOTATION) - set(first.columns):
-        raise ValueError(f"missing columns {sorted(missing)}")
-    df = spark.read.csv(folder, header=True, pathGlobFilter=pattern, schema=schema, enforceSchema=False)
+    raw = spark.read.text(folder, pathGlobFilter=pattern)
     file = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.csv$", "")
-    df = df.select("*", file.alias("pdbid"), F.monotonically_increasing_id().alias("__row")).where(~F.col("pdbid").endswith("-onehot"))
+    cells = F.transform(F.split("value", ","), F.trim)
+    rows = raw.select(file.alias("pdbid"), F.monotonically_increasing_id().alias("__row"), cells.alias("__v")).where(~F.col("pdbid").endswith("-onehot"))
     w = Window.partitionBy("pdbid")
-    df = df.withColumn("position", F.row_number().over(w.orderBy("__row")) - 1).withColumn("n_residues", F.count("*").over(w)).drop("__row")
-    return df.select("pdbid", "position", "n_residues", "sec_type", *[or_null(F.col(f"`{c}`")).alias(c) for c in ANNOTATION if c != "sec_type"])
+    rows = rows.withColumn("position", F.row_number().over(w.orderBy("__row")) - 2).withColumn("__h", F.first("__v").over(w.orderBy("__row")))
+    rows = rows.withColumn("n_residues", F.count("*").over(w) - 1)
+    bad = rows.where((F.col("position") == -1) & (F.size(F.array_except(F.array(*[F.lit(c) for c in ANNOTATION]), "__h")) > 0))
+    if first := bad.select("pdbid", "__h").limit(1).collect():
+        raise ValueError(f"missing columns in {first[0]['pdbid']}: {sorted(set(ANNOTATION) - set(first[0]['__h']))}")
+    cell = lambda c: F.get("__v", F.array_position("__h", c).cast("int") - 1).try_cast(ANNOTATION[c])
+    rows = rows.where("position >= 0")
+    return rows.select("pdbid", "position", "n_residues", cell("sec_type").alias("sec_type"), *[or_null(cell(c)).alias(c) for c in ANNOTATION if c != "sec_type"])
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -125,10 +125,10 @@ def test_structures(spark, tmp_path):
 
 
 def test_malformed_lines(spark):
-    text = ["ATOM      1  CA  ALA A 1 1.5 2.5 3.5 1.0 9.5", "ATOM      2  CA  GLY 7 1.5 2.5 3.5 1.0 9.5 x", "ATOM      3  CA  ALA A   3      x"]
+    text = ["ATOM      1  CA  ALA A 1 1.5 2.5 3.5 1.0 9.5", "ATOM      2  CA  GLY 17 1.5 2.5 3.5 1.0 9.5 x", "ATOM      3  CA  ALA A   3      x"]
     df = spark.createDataFrame([("p", i, x) for i, x in enumerate(text)], "protein_id string, line_number int, line string")
     good = pdb.parse_atoms(df.where("line_number < 2")).orderBy("residue_index").collect()
-    assert [(r["chain_id"], r["residue_number"], r["x"], r["b_factor"]) for r in good] == [("A", 1, 1.5, 9.5), ("_", 7, 1.5, 9.5)]
+    assert [(r["chain_id"], r["residue_number"], r["x"], r["b_factor"]) for r in good] == [("A", 1, 1.5, 9.5), ("_", 17, 1.5, 9.5)]
     assert pdb.parse_atoms(df, "skip").count() == 0
     for mode in ("fallback", "strict"):
         with pytest.raises(Exception, match="malformed"):
