@@ -41,7 +41,7 @@ def number_label(value: float, style: str = "package") -> str:
 
 def parse_numbers(text: Column, kind: str = "double") -> Column:
     """A comma-separated list as an array of numbers; blanks are skipped."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: x.try_cast(kind))
 
 

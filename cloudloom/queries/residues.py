@@ -301,10 +301,10 @@ SELECT a.user_id, a.pos, a.value AS a, b.value AS b FROM a JOIN b USING (user_id
     "greedy_subsequence_align": f"""WITH RECURSIVE l AS (SELECT user_id, {_POS} AS pos, event_id, value FROM events),
 s0 AS (SELECT user_id, {_POS} AS k, value FROM events WHERE event_id % 3 = 0 OR (user_id % 4 = 0 AND event_id % 5 = 0)),
 s AS (SELECT user_id, k, CASE WHEN user_id % 6 = 0 AND k = 3 THEN CAST(-1e9 AS DOUBLE) ELSE value END AS value FROM s0),
-walk AS (SELECT user_id, CAST(-1 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS at FROM (SELECT DISTINCT user_id FROM s)
-  UNION ALL SELECT w.user_id, w.k + 1, (SELECT min(l.pos) FROM l JOIN s ON s.user_id = l.user_id AND s.k = w.k + 1 WHERE l.user_id = w.user_id AND l.pos > w.at AND abs(l.value - s.value) <= CAST(1e-9 AS DOUBLE))
-  FROM walk w WHERE w.at IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE s.user_id = w.user_id AND s.k = w.k + 1)),
-ends AS (SELECT user_id, bool_and(at IS NOT NULL) AS ok, max(k) + 1 AS n, max(at) AS last FROM walk GROUP BY user_id)
+walk AS (SELECT user_id, CAST(-1 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS spot FROM (SELECT DISTINCT user_id FROM s)
+  UNION ALL SELECT w.user_id, w.k + 1, (SELECT min(l.pos) FROM l JOIN s ON s.user_id = l.user_id AND s.k = w.k + 1 WHERE l.user_id = w.user_id AND l.pos > w.spot AND abs(l.value - s.value) <= CAST(1e-9 AS DOUBLE))
+  FROM walk w WHERE w.spot IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE s.user_id = w.user_id AND s.k = w.k + 1)),
+ends AS (SELECT user_id, bool_and(spot IS NOT NULL) AS ok, max(k) + 1 AS n, max(spot) AS last FROM walk GROUP BY user_id)
 SELECT user_id, CASE WHEN ok THEN n END AS n_found, CASE WHEN ok THEN last END AS last_position FROM ends""",
     "list_parsing": "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) + CAST(2.5 AS DOUBLE) + n_regionkey AS total FROM nation",
     "cleaned_ids": "SELECT c_custkey, c_name AS id FROM customer",

@@ -26,7 +26,7 @@ def annotations(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
     """
     raw = spark.read.text(folder, pathGlobFilter=pattern)
     file = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.csv$", "")
-    cells = F.transform(F.split("value", ","), F.trim)
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = raw.select(file.alias("pdbid"), F.monotonically_increasing_id().alias("__row"), cells.alias("__v")).where(~F.col("pdbid").endswith("-onehot"))
     w = Window.partitionBy("pdbid")
     rows = rows.withColumn("position", F.row_number().over(w.orderBy("__row")) - 2).withColumn("__h", F.first("__v").over(w.orderBy("__row")))
