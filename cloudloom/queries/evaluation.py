@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, windows
-from ..operators import models, resampling, spectral, summary
+from ..operators import models, protocols, resampling, spectral
 from ..plans.config import FeatureConfig
 from .common import items, points, residues, rounded, table
 
@@ -101,22 +101,26 @@ def shap_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and median correlation of pooled and per-group least squares, with and without rescaling."""
-    li = items(spark, sf_dir)
-    names, target, order = ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"]
-    scaled = li
-    for c in names:
-        scaled = scaled.withColumn(c, windows.standardised(c, SUPP))
-    rows = {"pooled_raw": models.linear_predict(li, names, models.linear_fit(li, names, target))}
-    rows["pooled_group_z"] = models.linear_predict(scaled, names, models.linear_fit(scaled, names, target))
-    rows["pooled_affine"] = models.affine_rescale(rows["pooled_raw"], SUPP, target, "prediction", "prediction")
-    rows["per_group"] = models.fit_each_group(li, "l_suppkey", names, target)
-    out = None
-    for name, df in rows.items():
-        per_group = metrics.pearson(df, SUPP, target, "prediction", order)
-        one = summary.spread(per_group, ["pearson"]).withColumn("protocol", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    """Correlations of pooled and per-group least squares, scaled and rescaled in seven ways."""
+    return rounded(protocols.linear_audit(items(spark, sf_dir), "l_suppkey", ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"]))
+
+
+def dataset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = items(spark, sf_dir).withColumn("prediction", F.col("l_quantity") * 1500)
+    return rounded(protocols.dataset_summary(li, "l_suppkey", "l_linestatus", "l_extendedprice", "prediction", ["l_orderkey", "l_linenumber"], 200), 5)
+
+
+def split_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _training(spark, sf_dir)
+    make = lambda f: models.tree_model("rf", trees=3, depth=4, seed=42 + f)
+    sets = {"one": names[:1], "all": names}
+    return rounded(protocols.split_controls(rows.drop("fold"), "l_suppkey", ["l_orderkey", "l_linenumber"], sets, "l_extendedprice", ["l_orderkey", "l_linenumber"], 2, make), 4)
+
+
+def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = items(spark, sf_dir).withColumn("top", F.col("l_quantity") >= 40).withColumn("cheap", F.col("l_discount") >= 0.05)
+    order = ["l_orderkey", "l_linenumber"]
+    return rounded(protocols.validation_metrics(li, "l_suppkey", order, {"discount": ("l_quantity", "l_discount")}, "top", ["l_extendedprice"], ["cheap"]))
 
 
 def named_config(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         ols_simple, ridge_lopo_1feature, per_group_ols, affine_rescale, bootstrap_lcg, bootstrap_pvalue, bootstrap_ci, kfold_mod, kfold_shuffled,
-        kfold_hashed, rf_grouped_cv, gbt_grouped_cv, shap_abs, linear_audit, named_config,
+        kfold_hashed, rf_grouped_cv, gbt_grouped_cv, shap_abs, linear_audit, dataset_metrics, split_controls, validation_metrics,
+        named_config,
     )
 }
 
@@ -148,6 +153,16 @@ SELECT l_suppkey, round(sum((y - s * x) / n + s * l_quantity), 2) AS sum_predict
     "affine_rescale": f"WITH f AS (SELECT l_suppkey, {_FIT} FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, round(avg(i + s * l_quantity), 3) AS mean_rescaled, round(max(i + s * l_quantity), 3) AS max_rescaled FROM lineitem JOIN f USING (l_suppkey) GROUP BY l_suppkey",
     "bootstrap_lcg": _MEANS + _DRAWS + " SELECT rep, round(mean, 6) AS mean FROM samples",
     "bootstrap_pvalue": _MEANS + _DRAWS + " SELECT round(least(1, CAST(1 + count(*) FILTER (WHERE mean <= 50) AS DOUBLE) / (count(*) + 1)), 6) AS p FROM samples",
+    "validation_metrics": """WITH f AS (SELECT *, l_quantity >= 40 AS top, l_discount >= CAST(0.05 AS DOUBLE) AS cheap FROM lineitem),
+r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + CAST(count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1 AS DOUBLE) / 2 AS rq,
+  rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount) + CAST(count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1 AS DOUBLE) / 2 AS rd,
+  rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + CAST(count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1 AS DOUBLE) / 2 AS rp FROM f),
+g AS (SELECT l_suppkey, covar_pop(rq, rd) / nullif(stddev_pop(rq) * stddev_pop(rd), 0) AS s,
+  (sum(rp) FILTER (WHERE top) - CAST(count(*) FILTER (WHERE top) AS DOUBLE) * (count(*) FILTER (WHERE top) + 1) / 2) / nullif(count(*) FILTER (WHERE top) * count(*) FILTER (WHERE NOT top), 0) AS a,
+  CASE WHEN count(*) FILTER (WHERE top) >= 2 AND count(*) FILTER (WHERE NOT top) >= 2 THEN (avg(l_extendedprice) FILTER (WHERE top) - avg(l_extendedprice) FILTER (WHERE NOT top)) / nullif(sqrt((var_samp(l_extendedprice) FILTER (WHERE top) + var_samp(l_extendedprice) FILTER (WHERE NOT top)) / 2), 0) END AS m,
+  (count(*) FILTER (WHERE top AND cheap) + CAST(0.5 AS DOUBLE)) * (count(*) FILTER (WHERE NOT top AND NOT cheap) + CAST(0.5 AS DOUBLE)) / ((count(*) FILTER (WHERE cheap AND NOT top) + CAST(0.5 AS DOUBLE)) * (count(*) FILTER (WHERE top AND NOT cheap) + CAST(0.5 AS DOUBLE))) AS o FROM r GROUP BY l_suppkey)
+SELECT 'spearman_discount' AS metric, round(avg(s), 6) AS estimate FROM g UNION ALL SELECT 'auc_l_extendedprice', round(avg(a), 6) FROM g
+UNION ALL SELECT 'smd_l_extendedprice', round(avg(m), 6) FROM g UNION ALL SELECT 'odds_cheap', round(avg(o), 6) FROM g""",
     "kfold_mod": "SELECT c_custkey, c_custkey % 5 AS fold FROM customer",
     "named_config": """SELECT row_number() OVER (ORDER BY r, p, d, s) - 1 AS position, 'r' || ['6', '6p5'][r] || '_p' || ['0', '0p5'][p] || '_d' || (d - 1) || '_' || ['max', 'min', 'mean', 'std', 'zeros'][s] AS name
 FROM range(1, 3) a(r), range(1, 3) b(p), range(1, 3) c(d), range(1, 6) e(s)""",

@@ -8,7 +8,7 @@ import pytest
 from cloudloom.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rf_grouped_cv", "gbt_grouped_cv", "shap_abs", "linear_audit"}
+SLOW = {"rf_grouped_cv", "gbt_grouped_cv", "shap_abs", "linear_audit", "split_controls"}
 
 
 @pytest.fixture(scope="module")
