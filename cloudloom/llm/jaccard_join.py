@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, sketch
-from .components import components
+from .components import components, near_labels
 from .shared import written
 
 SHORT = 16
@@ -196,14 +196,6 @@ def _short_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> {inner}))")).alias("p")).select("p.*").distinct()
 
 
-def _one_hop(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest class within two links. Equal labels are connected; unequal ones may be."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
-    through = both.join(least.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
-    return through.select("node", F.least("node", "label").alias("label"))
-
-
 def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     return entries.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
@@ -242,9 +234,9 @@ def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Dat
         near = near if links is not None else near.unionByName(pairs)
         new = _verified(near.distinct(), docs, classes, size, num, den)
         links = new if links is None else links.unionByName(new)
-        label = written(_one_hop(links), "labels")
+        label = written(near_labels(links), "labels")
         rest = known.where(F.col("cid") != F.col("p.cid")).select("token", "cid", "n", "pos")
-    label = components(links)
+    label = components(links, label)
     label = label.withColumnRenamed("node", "cid")
     rows = profile.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = rows.where(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("component_id"))
