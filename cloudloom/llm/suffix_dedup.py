@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel, sketch
@@ -163,16 +163,12 @@ def compare(min_words: int, edges: bool):
     return run
 
 
-def union_of(pdf):
-    """The united spans of one document: at most one row for each retained suffix comes in."""
-    import pandas as pd
-
-    pdf = pdf.sort_values(["lo", "hi"])
-    lo, hi = pdf["lo"].to_numpy(), np.maximum.accumulate(pdf["hi"].to_numpy())
-    new = np.concatenate(([True], lo[1:] > hi[:-1]))
-    starts = np.flatnonzero(new)
-    ends = hi[np.append(starts[1:], len(hi)) - 1]
-    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "start_word": lo[starts], "end_word": ends})
+def united(spans: DataFrame) -> DataFrame:
+    """(doc_id, start_word, end_word): overlapping and touching spans (doc_id, lo, hi) of each document as one."""
+    ordered = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    reached = F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(F.col("lo") <= reached, 0).otherwise(1)).withColumn("run", F.sum("new").over(ordered))
+    return marked.groupBy("doc_id", "run").agg(F.min("lo").cast("long").alias("start_word"), F.max("hi").cast("long").alias("end_word")).drop("run")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -193,5 +189,4 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
         both = made.where("edge = 0").unionByName(ends).select("doc_id", "lo", "hi")
         found = both if found is None else found.unionByName(both)
     found = found.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
-    spans = found.groupBy("doc_id").applyInPandas(union_of, "doc_id long, start_word long, end_word long")
-    return spans.withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))
+    return united(found).withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))
