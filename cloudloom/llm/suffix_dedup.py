@@ -1,16 +1,20 @@
-"""Repeated passages by sparse suffix arrays: minimiser suffixes, sorted, compared with neighbours, extended both ways.
+"""Repeated passages by sparse suffix arrays: minimiser suffixes, sorted, compared with neighbours; the rest by hash.
 
 1. In every run of ``min_words - K + 1`` consecutive K-word grams of a text, the gram with the least hash is retained
-   (the first of equals). The choice depends on content alone, so any passage of ``min_words`` words has a retained
-   gram, and all copies of the passage have the same ones.
+   (the first of equals). The choice depends on content alone, so each window of ``min_words`` words has one gram that is
+   its own, and all copies of the window have the same one at the same place.
 2. Grams that occur once leave: one narrow shuffle counts them, and a filter of fixed size tells the second scan which
    suffixes to emit. A false hit only costs a row.
-3. The retained suffixes carry 32-bit hashes of the words around their gram, as far as a passage of ``min_words`` words
-   through the gram can reach. They are written once, then range-sorted twice: by gram and words to the right, and by
-   gram and words to the left. A gram that very many documents share is split over partitions by what surrounds it.
-4. Each suffix is compared with the nearest suffix of another document on either side of it, and the match is extended
-   left and right. Ends of partitions are compared in a last step over two rows a partition.
-5. Matches of at least ``min_words`` words are united to spans of each document.
+3. The retained suffixes carry 32-bit hashes of the words around their gram, as far as a window of ``min_words`` words
+   through the gram can reach, and which windows are the gram's own. They are written and range-sorted by gram and words
+   to the right; those that may still repeat are written and range-sorted by gram and words to the left. A gram that very
+   many documents share is split over partitions by what surrounds it.
+4. Each suffix is compared with the nearest suffix of another document on either side of it. A window that one of the
+   two shares is found. The most words that they share in the sorted direction bound what any other document shares, so
+   a window beyond that bound cannot repeat. At the ends of a partition the bound is not known, and none is set.
+5. Windows that are neither found nor ruled out are left open. All suffixes' windows with the hash of an open one are
+   grouped by hash, and the open ones that several documents hold are found as well. So no repeat is missed.
+6. Found windows are united to spans of each document.
 
 So a passage costs rows in proportion to its copies; there are no pairs of documents. Words are white-space separated,
 A-Z lower-cased; repeats within one document alone do not count.
@@ -35,20 +39,30 @@ from .shared import written
 K = 12
 FLAG_BITS = 23
 KEYS = "key long, doc_id long"
-ANCHOR = "key long, doc_id long, pos int, rightward binary, leftward binary"
-SPAN = "doc_id long, lo int, hi int, edge int, key long, pos int, rightward binary, leftward binary"
+ANCHOR = "key long, doc_id long, pos int, rightward binary, leftward binary, least int, most int"
+#: may and found are bit rows: the own windows that start a words before the gram, for a = 0..min_words - K.
+ROW = "key long, doc_id long, pos int, rightward binary, leftward binary, may binary, found binary"
+#: A span, or with h an open window: lo..hi of doc_id, its gram and the hash of the words around it.
+SPAN = "doc_id long, lo int, hi int, key long, h long"
+WINDOW = "key long, h long, doc_id long"
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id in the workers
 
 
-def retained(words: kernel.Words, h: np.ndarray, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, positions of retained grams in the words of all texts, their hashes)."""
+def retained(words: kernel.Words, h: np.ndarray, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, positions of retained grams in the words of all texts, their hashes, least and most words before them in their own windows)."""
     grams, width = kernel.ngrams(h, K), min_words - K + 1
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
         if b - a >= min_words:
             own = grams[a : b - K + 1]
             picks = np.lib.stride_tricks.sliding_window_view(own, width).argmin(axis=1) + np.arange(len(own) - width + 1)
-            picks = picks[np.concatenate(([True], picks[1:] != picks[:-1]))]
-            yield i, picks + a, own[picks]
+            first = np.flatnonzero(np.concatenate(([True], picks[1:] != picks[:-1])))
+            last = np.append(first[1:], len(picks)) - 1
+            picks = picks[first]
+            yield i, picks + a, own[picks], picks - last, picks - first
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]):
@@ -64,8 +78,8 @@ def gram_keys(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, h in _hashed(batches):
             if found := list(retained(words, h, min_words)):
-                keys = np.concatenate([k for _, _, k in found]).view(np.int64)
-                docs = np.repeat(ids[[i for i, _, _ in found]], [len(k) for _, _, k in found])
+                keys = np.concatenate([x[2] for x in found]).view(np.int64)
+                docs = np.repeat(ids[[x[0] for x in found]], [len(x[2]) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], names=["key", "doc_id"])
 
     return run
@@ -78,15 +92,16 @@ def suffixes(min_words: int, flags):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, h in _hashed(batches):
             short, out = (h >> np.uint64(32)).astype(">u4"), []
-            for i, at, keys in retained(words, h, min_words):
+            for i, at, keys, least, most in retained(words, h, min_words):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 again = sketch.may_hold(flags.value, keys.view(np.int64), FLAG_BITS)
                 back = short[a:b][::-1]
-                for p, key in zip(at[again].tolist(), keys[again].view(np.int64).tolist(), strict=True):
-                    out.append((key, ids[i], p - a, short[p + K : min(p + K + reach, b)].tobytes(), back[b - p : b - p + reach].tobytes()))
+                for p, key, x, y in zip(at[again].tolist(), keys[again].view(np.int64).tolist(), least[again].tolist(), most[again].tolist(), strict=True):
+                    out.append((key, ids[i], p - a, short[p + K : min(p + K + reach, b)].tobytes(), back[b - p : b - p + reach].tobytes(), x, y))
             if out:
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "pos", "rightward", "leftward"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=_names(ANCHOR))
 
     return run
 
@@ -105,60 +120,128 @@ def _common(words: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.minimum(first, np.minimum(own[i], own[j]))
 
 
-def matches(rows: pa.Table, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, lo, hi): the extended match of sorted rows with the nearest row of another document on either side."""
+def _bits(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of flags from rows of bits."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1, count=width).view(bool)
+
+
+def _packed(flags: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.packbits(flags, axis=1)], pa.binary())
+
+
+def compared(rows: pa.Table, min_words: int, chain: str, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(which own windows of the sorted rows another document may hold, which it surely does), by the nearest rows of
+    another document; first and last say that the first and the last run of rows of a document have no bound."""
     reach, n = min_words - K, len(rows)
-    key, doc, pos = (rows.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+    key, doc = rows.column("key").to_numpy(), rows.column("doc_id").to_numpy()
     right, n_right = _context(rows.column("rightward"), reach)
     left, n_left = _context(rows.column("leftward"), reach)
+    a = np.arange(reach + 1)
+    if chain == "rightward":
+        may = (a >= rows.column("least").to_numpy()[:, None]) & (a <= rows.column("most").to_numpy()[:, None])
+        found = np.zeros_like(may)
+    else:
+        may, found = _bits(rows.column("may"), reach + 1), _bits(rows.column("found"), reach + 1)
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
     run = np.cumsum(new) - 1
     starts = np.append(np.flatnonzero(new), n)
-    row = np.arange(n)
-    out = []
+    row, bound, shared = np.arange(n), np.full(n, -1), np.zeros_like(may)
     for other in (starts[run] - 1, starts[run + 1]):
         ok = (other >= 0) & (other < n)
         i, j = row[ok], other[ok]
         same = key[i] == key[j]
         i, j = i[same], j[same]
         to_left, to_right = _common(left, n_left, i, j), _common(right, n_right, i, j)
-        enough = to_left + K + to_right >= min_words
-        i = i[enough]
-        out.append((i, pos[i] - to_left[enough], pos[i] + K + to_right[enough]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        shared[i] |= (a <= to_left[:, None]) & (reach - a <= to_right[:, None])
+        bound[i] = np.maximum(bound[i], to_right if chain == "rightward" else to_left)
+    if first:
+        bound[run == 0] = reach
+    if last:
+        bound[run == run[-1]] = reach
+    found |= shared & may
+    return may & ((reach - a if chain == "rightward" else a) <= bound[:, None]), found
+
+
+def _hashes(rows: pa.Table, wanted: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words before the gram, hash of the words around it) of the wanted windows."""
+    reach = min_words - K
+    factors = np.random.default_rng(20240301).integers(0, 1 << 63, 2 * reach + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = []
+    for column, f in (("leftward", factors[:reach]), ("rightward", factors[reach : 2 * reach])):
+        words = _context(rows.column(column), reach)[0].astype(np.uint64)
+        sums.append(np.concatenate((np.zeros((len(rows), 1), np.uint64), np.cumsum(kernel.mix(words + np.uint64(1)) * f, axis=1, dtype=np.uint64)), axis=1))
+    i, a = np.nonzero(wanted)
+    return i, a, kernel.mix(sums[0][i, a] + sums[1][i, reach - a] + a.astype(np.uint64) * factors[-1]).view(np.int64)
 
 
-def _spans(rows: pa.Table, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    i, lo, hi = found
-    nil = lambda k: pa.nulls(len(i), k)
-    columns = [pa.array(rows.column("doc_id").to_numpy()[i]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(np.zeros(len(i)), pa.int32()), nil(pa.int64()), nil(pa.int32()), nil(pa.binary()), nil(pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SPAN.split(", ")])
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    made = [pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "), strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=_names(schema))
 
 
-def compare(min_words: int, edges: bool):
-    """Spans of the matches of sorted suffixes; with edges also the first and last row of the partition."""
+def _rows(rows: pa.Table, may: np.ndarray, found: np.ndarray, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The rows with a window that may repeat."""
+    some = may.any(axis=1)
+    columns = [rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("key", "doc_id", "pos", "rightward", "leftward")]
+    yield _batch(ROW, *columns, _packed(may[some]), _packed(found[some]))
 
-    def edge(row: pa.Table) -> pa.RecordBatch:
-        columns = [row.column("doc_id"), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([1], pa.int32()), *(row.column(c) for c in ("key", "pos", "rightward", "leftward"))]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SPAN.split(", ")]).combine_chunks().to_batches()[0]
+
+def _spans(rows: pa.Table, may: np.ndarray, found: np.ndarray, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Runs of found windows as spans, and the open windows."""
+    key, doc, pos = (rows.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+    step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (i, least), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
+    yield _batch(SPAN, doc[i], pos[i] - end + 1, pos[i] - least + min_words, key[i], pa.nulls(len(i), pa.int64()))
+    left = may & ~found
+    some = left.any(axis=1)
+    if some.any():
+        i, a, h = _hashes(rows.filter(pa.array(some)), left[some], min_words)
+        i = np.flatnonzero(some)[i]
+        yield _batch(SPAN, doc[i], pos[i] - a, pos[i] - a + min_words, key[i], h)
+
+
+def compare(min_words: int, chain: str):
+    """Rows sorted by right context: those that may repeat. Rows sorted by left context: spans and open windows."""
+    made = _rows if chain == "rightward" else _spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = None, None
+        held, first, skip = None, True, 0
         for batch in batches:
             if not len(batch):
                 continue
-            table = pa.Table.from_batches([batch]).combine_chunks()
-            if last is None and edges:
-                yield edge(table.slice(0, 1))
-            last = table.slice(len(table) - 1, 1)
+            table = pa.Table.from_batches([batch])
             if held is not None:  # the last run of rows of one document and gram, and the row before it, meet the new rows
-                table = pa.concat_tables([held, table]).combine_chunks()
-            yield _spans(table, matches(table, min_words))
+                table = pa.concat_tables([held, table])
+            table = table.combine_chunks()
             key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
             change = np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
-            held = table.slice(int(change[-1]) if len(change) else 0)
-        if last is not None and edges:
-            yield edge(last)
+            to = int(change[-1]) + 1 if len(change) else 0  # the last run waits for what follows it
+            if to > skip:
+                may, found = compared(table, min_words, chain, first, False)
+                yield from made(table.slice(skip, to - skip), may[skip:to], found[skip:to], min_words)
+                first, held, skip = False, table.slice(to - 1), 1
+            else:
+                held = table
+        if held is not None:
+            may, found = compared(held, min_words, chain, first, True)
+            yield from made(held.slice(skip), may[skip:], found[skip:], min_words)
+
+    return run
+
+
+def windows(min_words: int, flags):
+    """The windows of rows sorted by right context whose hash may be that of an open window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                rows = pa.Table.from_batches([batch])
+                i, _, h = _hashes(rows, _bits(rows.column("may"), min_words - K + 1), min_words)
+                hit = sketch.may_hold(flags.value, h, FLAG_BITS)
+                i = i[hit]
+                yield _batch(WINDOW, rows.column("key").to_numpy()[i], h[hit], rows.column("doc_id").to_numpy()[i])
 
     return run
 
@@ -179,14 +262,14 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     keys = docs.mapInArrow(gram_keys(min_words), KEYS).groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
     flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(keys.where("x <> y").select(F.col("key").alias("id")), FLAG_BITS))
     rows = written(docs.mapInArrow(suffixes(min_words, flags), ANCHOR), "suffixes")
-    found = None
-    for chain in ("rightward", "leftward"):
+    for chain, schema in (("rightward", ROW), ("leftward", SPAN)):
         by = ["key", chain, "doc_id", "pos"]
         ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-        made = written(ordered.mapInArrow(compare(min_words, True), SPAN), "spans")
-        ends = made.where("edge = 1").select("key", "doc_id", "pos", "rightward", "leftward").coalesce(1).sortWithinPartitions(*by)
-        ends = ends.mapInArrow(compare(min_words, False), SPAN)  # two rows a partition
-        both = made.where("edge = 0").unionByName(ends).select("doc_id", "lo", "hi")
-        found = both if found is None else found.unionByName(both)
+        before, rows = rows, written(ordered.mapInArrow(compare(min_words, chain), schema), chain)
+    left = rows.where(F.col("h").isNotNull())
+    flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(left.select(F.col("h").alias("id")), FLAG_BITS))
+    held = before.mapInArrow(windows(min_words, flags), WINDOW).groupBy("key", "h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+    left = left.join(held.where("x <> y").select("key", "h"), ["key", "h"], "left_semi")
+    found = rows.where(F.col("h").isNull()).select("doc_id", "lo", "hi").unionByName(left.select("doc_id", "lo", "hi"))
     found = found.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
     return united(found).withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))

@@ -139,6 +139,26 @@ def test_repeated_passages(spark):
     assert got == brute.repeated(docs, 50)
 
 
+def test_repeated_passages_behind_nearer_neighbours(spark):
+    """Pairs share a passage, and other texts share more of it to one side of a gram than the partner to the other."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(20):
+        passage = fresh(56)
+        parts = [passage] * 2 + [passage[:n] if k % 2 else passage[-n:] for k, n in enumerate(rng.choices(range(35, 50), k=20))]
+        docs += [" ".join(fresh(rng.randrange(5, 40)) + part + fresh(rng.randrange(5, 40))) for part in parts]
+    for _ in range(6):  # near copies with words exchanged
+        text = fresh(300)
+        docs += [" ".join(w if rng.random() > 0.015 else fresh(1)[0] for w in text) for _ in range(25)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = {}
+    for r in suffix_dedup.repeated_spans(frame(spark, docs)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert got == brute.repeated(docs, 50)
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     pool = ["MIT License", "mit", "license", "the Apache License", "general public", "General Public License v3", "foo", "Permission is hereby granted", "\n", "É"]
