@@ -1,8 +1,9 @@
 """Licence scan: matching statistics against a generalised suffix automaton of licence tokens, chained to spans.
 
 The automaton holds the tokens of all templates and phrases. A text's tokens are streamed through it once: at each token
-it gives the longest run of tokens that ends there and occurs in a template. Maximal runs of MIN_MATCH tokens or more
-are anchors; anchors of one template that follow each other in the text and in the template, with gaps of up to MAX_GAP
+it gives the longest run of tokens that ends there and occurs in a template; its suffix links give the longest run of
+each template, at each of its places. A template's run of MIN_MATCH tokens or more that its next token does not extend is
+an anchor, whatever longer run another template has there; anchors of one template that follow each other in the text and in the template, with gaps of up to MAX_GAP
 tokens, are chained. A chain that covers at least ``cover`` of its template is a span with the template's label. Phrases
 are found in the same pass: a phrase stands wherever its state is among the suffixes of the current run.
 
@@ -65,7 +66,9 @@ class Automaton:
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     ends: list[set] = field(default_factory=lambda: [set()])
+    words: dict[str, list] = field(default_factory=dict)
     phrases: list[tuple] = field(default_factory=list)
+    runs: list[tuple] = field(default_factory=list)
 
     def _state(self, length: int, step: dict, link: int) -> int:
         self.step.append(step)
@@ -99,12 +102,14 @@ class Automaton:
 
     def add(self, name: str, words: list) -> None:
         last = 0
+        self.words[name] = words
         for i, c in enumerate(words):
             last = self._extend(last, c)
             self.ends[last].add((name, i + 1))
 
     def finish(self, phrases: dict) -> None:
-        """Hands ends up the suffix links; notes at each state the phrases among its suffixes."""
+        """Hands ends up the suffix links; notes at each state the phrases among its suffixes, and the longest run at each
+        place of a template: (template, end, next token, length, or 0 for that of the current run)."""
         by_length = sorted(range(1, len(self.length)), key=lambda s: -self.length[s])
         for s in by_length:
             self.ends[self.link[s]] |= self.ends[s] if self.link[s] else set()
@@ -117,6 +122,17 @@ class Automaton:
         self.phrases = [()] * len(self.length)
         for s in reversed(by_length):
             self.phrases[s] = self.phrases[self.link[s]] + ((own[s],) if s in own else ())
+        self.runs = [()] * len(self.length)
+        for s in by_length:
+            made, seen, p = [], set(), s
+            while p and (p == s or self.length[p] >= MIN_MATCH):
+                for name, stop in sorted(self.ends[p] - seen):
+                    if name:
+                        follow = self.words[name][stop] if stop < len(self.words[name]) else -1
+                        made.append((name, stop, follow, 0 if p == s else self.length[p]))
+                seen |= self.ends[p]
+                p = self.link[p]
+            self.runs[s] = tuple(made)
 
 
 class Scanner:
@@ -157,10 +173,11 @@ class Scanner:
             state = run = 0
             for i in range(start, end + 1):
                 token = ids[i] if i < end else None
-                if run >= MIN_MATCH and token not in a.step[state]:  # the run is as long as it gets
-                    for name, stop in a.ends[state]:
-                        if name:
-                            anchors.setdefault(name, []).append((i - run, stop - run, run))
+                if run >= MIN_MATCH:
+                    for name, stop, follow, size in a.runs[state]:
+                        if token != follow:  # the run of this template is as long as it gets
+                            size = size or run
+                            anchors.setdefault(name, []).append((i - size, stop - size, size))
                 if i == end:
                     break
                 while state and token not in a.step[state]:

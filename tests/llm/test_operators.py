@@ -182,6 +182,25 @@ def test_license_matching_statistics():
     assert scanner.scan(b"permission is hereby granted to nobody")[2] == []
 
 
+def test_license_templates_do_not_hide_each_other():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.PHRASES, 0.8)
+    text = "Licensed under the Apache License, Version 2.0. The source is elsewhere"
+    assert [s[:3] for s in scanner.scan(text.encode())[2]] == [("apache-2.0-notice", 0, 8)]
+    rng = random.Random(5)
+    nested = license_scan.TEMPLATES | {f"part{k}": " ".join(brute.plain_words(t)[a : a + n]) for k, (t, a, n) in enumerate((rng.choice(list(license_scan.TEMPLATES.values())), rng.randrange(8), rng.randrange(4, 20)) for _ in range(15))}
+    nested = {k: v for k, v in nested.items() if len(v.split()) >= 4} | {"twice": "one two three four five one two three four six"}
+    scanner = license_scan.Scanner(nested, {}, 0.8)
+    alone = [license_scan.Scanner({k: v}, {}, 0.8) for k, v in nested.items()]
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            own = brute.plain_words(rng.choice(list(nested.values())))
+            a = rng.randrange(len(own)) if rng.random() < 0.5 else 0
+            words += own[a : a + rng.randrange(3, 40)] + rng.choice([[], ["the"], ["xyz"]])
+        text = " ".join(words).encode()
+        assert sorted(scanner.scan(text)[2]) == sorted(s for x in alone for s in x.scan(text)[2])
+
+
 def test_chat_collapse(spark):
     rng = random.Random(4)
     talks = []
