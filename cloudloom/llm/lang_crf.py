@@ -7,10 +7,11 @@ A learned transition matrix links neighbouring words; forward-backward gives eac
 is the one with the largest mean posterior over all its words, which is also the score.
 
 Training. A document's words all carry its language. The sample is the ``train_docs`` documents of each language with
-the least hash of their id, among those of up to ``train_bytes`` bytes. Code-switched sequences are made by joining runs
+the least hash of their id, among those of up to ``train_bytes`` bytes; where these are too few, the rest are passages of
+at most ``train_bytes`` bytes of longer ones, from their first letter on. Every non-null lang is learned. Code-switched sequences are made by joining runs
 of words of different documents, so that transitions are learned from switches; weights and transitions maximise the
-conditional likelihood, with an L2 penalty, by full-batch steps of adaptive size. At most MAX_LANGUAGES languages are
-learned, the most frequent.
+conditional likelihood, with an L2 penalty, by full-batch steps of adaptive size. From SEQUENCE_LANGUAGES languages
+on, sequences grow with the languages, so that each keeps its share of words.
 
 Edge cases. Null text and text without a letter: ``und`` with score 0. Documents with null lang are not learned from.
 With no document to learn from, every text is ``und``. Null and repeated doc_ids: each row is predicted by itself.
@@ -25,13 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 64
+SEQUENCE_LANGUAGES = 64
 GRAM_BITS, WORD_BITS = 16, 16
 RESULT = "doc_id long, lang_pred string, score double, n_words long"
 
@@ -148,6 +149,7 @@ def train(texts: list[str], langs: list[str], steps: int = 60, run_words: int =
     k, n = len(languages), len(words.starts)
     if not n:
         return None
+    sequences = max(sequences, sequences * k // SEQUENCE_LANGUAGES)
     rng = np.random.default_rng(7)
     of_doc = np.repeat([languages.index(x) for x in langs], np.diff(words.first))
     # code-switched sequences: runs of random length from random places, languages equally often
@@ -235,20 +237,19 @@ def labeller(shared):
 
 
 def sample(docs: DataFrame, train_docs: int, train_bytes: int) -> list:
-    """At most train_docs rows (text, lang) of each of at most MAX_LANGUAGES languages; the bound holds for any input."""
-    short = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= train_bytes) & F.col("text").rlike(r"\p{L}"))
-    counts = short.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
+    """At most train_docs rows (text, lang) of each language, of at most train_bytes bytes; longer texts where short ones are too few."""
+    full = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("long", (F.octet_length("text") > train_bytes).cast("int"))
+    sizes = full.groupBy("lang").agg(F.sum(1 - F.col("long")).alias("n"), F.sum("long").alias("n_long"))
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    share = F.lit(0.0)
-    for r in counts:  # twice the share that is needed reaches the ranking, whatever the size of the input
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * train_docs / r["n"] + 1e-9))).otherwise(share)
-    near = short.select("text", "lang", h.alias("h")).where(F.col("h") < share * float(1 << 40))
-    rows = []
-    for r in counts:
-        rows += near.where(F.col("lang") == r["lang"]).orderBy("h", "text").limit(train_docs).collect()
-    return rows
+    # twice the share that is needed reaches the ranking, whatever the size of the input
+    share = F.least(F.lit(1.0), 2.0 * train_docs / F.when(F.col("long") == 0, F.col("n")).otherwise(F.col("n_long")) + 1e-9)
+    near = full.join(F.broadcast(sizes), "lang")  # a row a language, as the model has
+    near = near.where(((F.col("long") == 0) | (F.col("n") < train_docs)) & (h < share * float(1 << 40)))
+    passage = F.regexp_extract("text", r"\p{L}[\s\S]{0,%d}" % max(0, train_bytes // 4 - 1), 0)
+    near = near.select(F.when(F.col("long") == 0, F.col("text")).otherwise(passage).alias("text"), "lang", "n", "long", h.alias("h"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text")))
+    rows = ranked.where(F.col("rank") <= train_docs).collect()
+    return sorted(rows, key=lambda r: (-r["n"], r["lang"], r["rank"]))
 
 
 def predict(docs: DataFrame, learn: Column, train_docs: int = 150, train_bytes: int = 20_000) -> DataFrame:

@@ -262,6 +262,23 @@ def test_crf_held_out_accuracy_and_switches(spark):
     assert (best[:25] == "en").mean() > 0.8 and (best[-25:] == "de").mean() > 0.8
 
 
+def test_crf_learns_every_language(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{i % 70}a b c {i}", f"l{i % 70:02}") for i in range(210)]
+    word = lambda c: "".join(rng.choice(c) for _ in range(5))
+    talk = lambda c, n: " ".join(word(c) for _ in range(n))
+    rows += [(1000 + i, "12 " * 3000 + talk("xyzvw", 500), "long") for i in range(5)]
+    rows += [(2000 + i, talk("mnopq", 40) if i < 2 else talk("mnopq", 500), "both") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_crf.sample(docs, 4, 1000)
+    assert {r["lang"] for r in got} == {r[2] for r in rows} and all(0 < len(r["text"].encode()) <= 1000 for r in got)
+    assert sum(r["lang"] == "long" for r in got) == 4 and all(r["text"][0] in "xyzvw" for r in got if r["lang"] == "long")
+    both = [r["text"] for r in got if r["lang"] == "both"]
+    assert len(both) == 4 and {r[1] for r in rows if r[0] in (2000, 2001)} < set(both)
+    out = lang_crf.predict(docs.where("doc_id >= 1000"), F.lit(True), 4, 1000).collect()
+    assert all(r["lang_pred"] == ("long" if r["doc_id"] < 2000 else "both") for r in out)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_plan(rule):
     rng = np.random.default_rng(1)
