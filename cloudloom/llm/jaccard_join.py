@@ -246,7 +246,16 @@ def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Dat
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that link, directly or not, with a smaller doc_id."""
-    found = linked(docs, size, num, den)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    """One row of docs of each group linked directly or not: that of the smallest doc_id, nulls last, and of equal ones any.
+
+    Rows without words link with nothing: one row of each doc_id stays, and all with a null one.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stand
+    found = linked(rows.select(F.col("__row").alias("doc_id"), "text"), size, num, den).withColumnRenamed("doc_id", "__row")
+    found = found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row")
+    wordless = F.col("n_shingles") == 0
+    group = (F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("id")), F.when(wordless & F.col("id").isNull(), F.col("__row")))
+    first = F.min_by("__row", F.struct(F.col("id").isNull(), "id", "__row")).alias("__row")
+    found = written(found.select("__row", "id", *(g.alias(f"g{k}") for k, g in enumerate(group))), "groups")
+    gone = found.select("__row").join(found.groupBy("g0", "g1", "g2").agg(first).select("__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -123,6 +123,15 @@ def test_stupid_backoff(spark, order):
         assert (r["n_words"], r["n_backoff"]) == (n, skipped) and math.isclose(r["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, a), (7, a + " end"), (None, b), (None, b + " end"), (None, c), (3, c), (9, d), (9, "other words here and there"), (8, d), (1, ""), (1, ""), (2, None), (None, ""), (None, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(frame(spark, rows).repartition(3)).select("doc_id", "text").collect()]
+    nulls = [t for i, t in kept if i is None]
+    assert sorted((i, t or "") for i, t in kept if i is not None) == sorted([(5, a), (3, c), (8, d), (9, "other words here and there"), (1, ""), (2, "")])
+    assert sorted(nulls)[:2] == ["", " "] and len(nulls) == 3 and nulls[[len(t) > 1 for t in nulls].index(True)] in (b, b + " end")
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     passage = [[f"p{k}x{rng.randrange(50)}" for _ in range(n)] for k, n in enumerate((50, 51, 90, 49, 200))]
