@@ -49,7 +49,7 @@ SETS = "doc_id long, cid long, shingles binary"
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words = kernel.Words(data, offsets, kernel.separators("space"))
-    h = words.hashes(kernel.byte_values(lower=True))
+    h = words.hashes(lower=True)
     grams = kernel.ngrams(h, size)
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= size:

@@ -77,7 +77,7 @@ def features(words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     source[last] = 0
     rows = grams[source]
     rows[last] = tail
-    h = words.hashes(kernel.byte_values(lower=False))
+    h = words.hashes(lower=False)
     size, shift = 1 << WORD_BITS, np.uint64(64 - WORD_BITS)
     span = np.minimum(ends - words.starts, 4)
     affix = np.zeros((2, len(ends)), np.uint64)
@@ -165,7 +165,7 @@ def train(texts: list[str], langs: list[str], steps: int = 60, run_words: int =
         picks.append(np.concatenate(own)[:length])
     seq = np.concatenate(picks)
     labels, first = of_doc[seq], np.arange(sequences + 1) * length
-    h = words.hashes(kernel.byte_values(lower=False))
+    h = words.hashes(lower=False)
     unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
     used = np.unique(inverse[seq], return_inverse=True)
     word_of = used[1]

@@ -1,156 +1,86 @@
-"""Stupid-backoff language-model scores: n-gram count tables partitioned by hash, joined to the n-grams of text blocks.
+"""Stupid-backoff language-model scores: n-gram count tables by hash, joined to exploded n-grams, summed per document.
 
 The score of word i is log(c(w[i-n+1..i]) / c(w[i-n+1..i-1])) for the longest n up to ``order`` whose n-gram occurs
 at least ``min_count`` times in all documents, with log(alpha) added for each order that was skipped; words alone have
 c(w) / N, N the words of all documents. A document's score is the sum over its words.
 
-The relations are packed, so that their shuffles stay near the entropy of what they carry:
-
-* blocks (block, ids, offsets, text): runs of documents of about BLOCK_BYTES, written once to the shared folder;
-* n-grams (block, order, p, hashes, counts): the distinct n-grams of a block, exploded and counted, one row for each hash
-  partition p: a range of the sorted hashes, as deltas in byte planes;
-* counts (block, order, p, counts): partition p of the count table, which sums the blocks' counts, joined back to the
-  n-grams of each block, in their order;
-* scores: a block's n-grams get their counts by the join on (block), and are summed per document.
-
-An n-gram in every document is one entry a block, so it is no hot key. The partitions grow with the input; each holds
-about PARTITION_BYTES of text's n-grams.
+The documents scored are those counted, so a count of one is the place that is scored itself: ``min_count`` is 2, or what
+nothing else has would be sure. Every order has its own n-gram rows, count table and join (see ngram_rows); a block then
+meets the totals of its n-grams, and its documents' places are summed.
 
 Words are white-space separated, A-Z lower-cased. Edge cases. Null or empty text: no words, log_score 0, mean null.
 Repeated rows and doc_ids are documents of their own. Null doc_ids are kept. An empty table gives an empty result. Extra
-columns are ignored. N-grams are 64-bit hashes.
+columns are ignored. N-grams are 64-bit hashes: of n different ones, about n^2 / 2^65 pairs are counted together.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from .ngram_rows import block_words, blocks, doc_ids, gram_rows, grams_ending, replies, totals
 from .shared import written
 
-BLOCK_BYTES = 4 << 20
-PARTITION_BYTES = 16 << 20
-BLOCKS = "block long, n_words long, n_bytes long, ids binary, nulls binary, offsets binary, text binary"
-NGRAMS = "block long, ord int, p int, hashes binary, counts binary"
-COUNTS = "block long, ord int, p int, counts binary"
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double"
+NAMES = [x.split()[0] for x in SCORES.split(", ")]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """The bytes of values, all first bytes first: planes of zeros cost nothing once compressed."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def unplanes(raw: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+def grams_of_order(n: int):
+    """A block's n-grams of n words, each as often as it occurs."""
 
+    def grams(row: dict) -> np.ndarray:
+        full, has = grams_ending(*block_words(row), n)
+        return full[has]
 
-def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs documents; input columns doc_id, text and uid, a number of the row that is unique."""
-    seps = kernel.separators("space")
-    for batch in batches:
-        ids, uid = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-        nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for rows, data, offsets in kernel.chunks(batch, size=BLOCK_BYTES):
-            text = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
-            row = [int(uid[rows.start]), len(kernel.Words(data, offsets, seps).starts), len(data), ids[rows].tobytes(), nulls[rows].tobytes(), offsets.tobytes(), text]
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
-
-
-def block_ngrams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(first word of each text; for n = 1..order the hash of the n-gram that ends at each word and which words have one)."""
-    words = kernel.Words(data, offsets, kernel.separators("space"))
-    h = words.hashes(kernel.byte_values(lower=True))
-    place = np.arange(len(h)) - np.repeat(words.first[:-1], np.diff(words.first))
-    out = []
-    for n in range(1, order + 1):
-        full = np.zeros(len(h), np.uint64)
-        full[n - 1 :] = kernel.ngrams(h, n) if n > 1 else h
-        out.append((full, place >= n - 1))
-    return words.first, out
-
+    return grams
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row.offsets, np.int64), np.frombuffer(pa.decompress(row.text, row.n_bytes, codec="zstd", asbytes=True), np.uint8)
 
-
-def exploded(order: int, bits: int):
-    """The distinct n-grams of each block with their counts, one row for each hash partition of 2^bits."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        for pdf in frames:
-            for row in pdf.itertuples():
-                offsets, data = _unpack(row)
-                for n, (h, has) in enumerate(block_ngrams(offsets, data, order)[1], 1):
-                    unique, count = np.unique(h[has], return_counts=True)
-                    cuts = [0, *np.searchsorted(unique, edges).tolist(), len(unique)]
-                    made = [(row.block, n, p, planes(np.diff(unique[a:b], prepend=np.uint64(0))), planes(count[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                    yield pd.DataFrame(made, columns=["block", "ord", "p", "hashes", "counts"])
-
-    return run
-
-
-def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A partition of the count table of one order, joined to the n-grams of each block."""
-    hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in pdf["hashes"]]
-    every = np.concatenate(hashes)
-    keys, where = np.unique(every, return_inverse=True)
-    table = np.bincount(where, weights=np.concatenate([unplanes(x, np.uint32) for x in pdf["counts"]]), minlength=len(keys)).astype(np.uint64)
-    ends = np.cumsum([len(x) for x in hashes])
-    blobs = [zlib.compress(planes(table[where[e - len(x) : e]]), 1) for x, e in zip(hashes, ends, strict=True)]
-    return pd.DataFrame({"block": pdf["block"], "ord": pdf["ord"], "p": pdf["p"], "counts": blobs})
+def word_scores(counts: list[np.ndarray], place: np.ndarray, total: int, alpha: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(score, orders skipped) of each word; counts[n - 1] are those of the n-grams that end there, place the words before."""
+    best = np.minimum(place, len(counts) - 1)  # the highest order that fits, from 0
+    score, level = np.log(np.maximum(counts[0], 1) / max(total, 1)), np.zeros(len(place), np.int64)
+    for n in range(1, len(counts)):
+        context = np.concatenate(([1], counts[n - 1][:-1]))[: len(place)]
+        ok = (counts[n] >= min_count) & (best >= n)
+        score, level = np.where(ok, np.log(np.maximum(counts[n], 1) / np.maximum(context, 1)), score), np.where(ok, n, level)
+    return score + math.log(alpha) * (best - level), best - level
 
 
 def scorer(order: int, total: int, alpha: float, min_count: int):
-    def run(blocks: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def run(block: pa.Table, reply: pa.Table) -> pa.Table:
         out = []
-        for row in blocks.itertuples():
-            offsets, data = _unpack(row)
-            first, grams = block_ngrams(offsets, data, order)
-            c = []
-            for n, (h, has) in enumerate(grams, 1):
-                mine = counts[counts["ord"] == n].sort_values("p")
-                table = np.concatenate([np.zeros(0, np.uint64), *(unplanes(zlib.decompress(x), np.uint64) for x in mine["counts"])])
-                full = np.zeros(len(h))
-                full[has] = table[np.unique(h[has], return_inverse=True)[1]]
-                c.append(full)
-            last = len(first) - 1
-            score, level = np.log(np.maximum(c[0], 1) / max(total, 1)), np.zeros(len(c[0]), np.int64)
-            best = np.minimum(np.arange(len(c[0])) - np.repeat(first[:-1], np.diff(first)), order - 1)  # the highest order that fits
-            for n in range(1, order):
-                context = np.concatenate(([1.0], c[n - 1][:-1]))[: len(c[n])]
-                ok = (c[n] >= min_count) & (best >= n)
-                score, level = np.where(ok, np.log(np.maximum(c[n], 1) / np.maximum(context, 1)), score), np.where(ok, n, level)
-            score = score + math.log(alpha) * (best - level)
-            sums = np.concatenate(([0.0], np.cumsum(score)))
-            skipped = np.concatenate(([0], np.cumsum(best > level)))
-            per = np.array([score[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)]) if last else sums[:0]
-            ids = pd.array(np.frombuffer(row.ids, np.int64).copy(), dtype="Int64")
-            ids[np.frombuffer(row.nulls, bool)] = pd.NA
-            out.append(pd.DataFrame({"doc_id": ids, "n_words": np.diff(first), "n_backoff": skipped[first[1:]] - skipped[first[:-1]], "log_score": per}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "n_backoff": [], "log_score": []})
+        for row in block.to_pylist():
+            h, first = block_words(row)
+            counts = []
+            for n in range(1, order + 1):
+                full, has = grams_ending(h, first, n)
+                unique, inverse, count = np.unique(full[has], return_inverse=True, return_counts=True)
+                every = np.zeros(len(h), np.int64)
+                every[has] = totals(unique, count, reply.filter(pc.equal(reply.column("ord"), n)))[inverse]
+                counts.append(every)
+            place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+            score, skipped = word_scores(counts, place, total, alpha, min_count)
+            sums = [float(score[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
+            backs = np.concatenate(([0], np.cumsum(skipped > 0)))
+            out.append(pa.table([doc_ids(row), pa.array(np.diff(first)), pa.array(backs[first[1:]] - backs[first[:-1]]), pa.array(sums, pa.float64())], names=NAMES))
+        empty = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())]).empty_table()
+        return pa.concat_tables(out) if out else empty
 
     return run
 
 
-def scored(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_backoff, log_score, mean_score) of each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
-    blocks = written(rows.mapInArrow(to_blocks, BLOCKS), "blocks")
-    sums = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    bits = max(3, math.ceil(math.log2(max(1, sums[1] / PARTITION_BYTES))))
-    grams = blocks.mapInPandas(exploded(order, bits), NGRAMS)
-    replies = grams.groupBy("p", "ord").applyInPandas(counted, COUNTS)
-    found = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(scorer(order, sums[0], alpha, min_count), SCORES)
+def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+    """(doc_id, n_words, n_backoff, log_score, mean_score) of each row of docs; n_backoff counts words that skip an order."""
+    blocked = blocks(docs)
+    total = blocked.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    replied = None
+    for n in range(1, order + 1):
+        one = written(replies(gram_rows(blocked, grams_of_order(n))).withColumn("ord", F.lit(n)), f"counts{n}")
+        replied = one if replied is None else replied.unionByName(one)
+    found = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(scorer(order, total, alpha, min_count), SCORES)
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -75,14 +75,17 @@ WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.n > one.n AND w.ts[1:one.n] = on
 
 _OP6 = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-places AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
-one AS (SELECT b, count(*) AS c FROM places GROUP BY b),
-two AS (SELECT a, b, count(*) AS c FROM places WHERE a IS NOT NULL GROUP BY a, b),
-total AS (SELECT sum(c) AS n FROM one),
-scored AS (SELECT p.doc_id, p.a IS NOT NULL AND two.c < 2 AS back,
-             CASE WHEN p.a IS NULL THEN ln(CAST(o.c AS DOUBLE) / total.n) WHEN two.c >= 2 THEN ln(CAST(two.c AS DOUBLE) / oa.c)
-                  ELSE ln(CAST(0.4 AS DOUBLE)) + ln(CAST(o.c AS DOUBLE) / total.n) END AS s
-           FROM places p JOIN one o ON o.b = p.b LEFT JOIN two ON two.a = p.a AND two.b = p.b LEFT JOIN one oa ON oa.b = p.a, total),
+places AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+one AS (SELECT c, count(*) AS n FROM places GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM places WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM places WHERE a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT sum(n) AS n FROM one),
+scored AS (SELECT p.doc_id, (p.a IS NOT NULL AND t3.n < 2) OR (p.a IS NULL AND p.b IS NOT NULL AND t2.n < 2) AS back,
+             CASE WHEN t3.n >= 2 THEN ln(CAST(t3.n AS DOUBLE) / ab.n)
+                  WHEN t2.n >= 2 THEN ln(CAST(t2.n AS DOUBLE) / ob.n) + CASE WHEN p.a IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END
+                  ELSE ln(CAST(o.n AS DOUBLE) / total.n) + CASE WHEN p.b IS NULL THEN 0 WHEN p.a IS NULL THEN 1 ELSE 2 END * ln(CAST(0.4 AS DOUBLE)) END AS s
+           FROM places p JOIN one o ON o.c = p.c LEFT JOIN two t2 ON t2.b = p.b AND t2.c = p.c LEFT JOIN three t3 ON t3.a = p.a AND t3.b = p.b AND t3.c = p.c
+           LEFT JOIN two ab ON ab.b = p.a AND ab.c = p.b LEFT JOIN one ob ON ob.c = p.b, total),
 sums AS (SELECT doc_id, count(*) AS n, sum(CAST(back AS INTEGER)) AS k, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_backoff, round(s / n, 6) AS mean_score FROM documents d LEFT JOIN sums USING (doc_id)
 """

@@ -47,8 +47,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.seps, self.values = kernel.separators("space"), kernel.byte_values(lower=False)
-        self.lowered = kernel.byte_values(lower=True)
+        self.seps = kernel.separators("space")
         self._forget()
 
     def _forget(self) -> None:
@@ -80,11 +79,11 @@ class WordIds:
         """(ids of all texts, where each text's ids begin and end)."""
         words = kernel.Words(data, offsets, self.seps)
         self._part(words)
-        hashes = words.hashes(self.lowered)
+        hashes = words.hashes(lower=True)
         marks = np.concatenate(([0], np.cumsum(data == ord("<"))))
         if marks[-1]:
             special = marks[words.ends] > marks[words.starts]
-            hashes[special] = kernel.mix(words.hashes(self.values)[special])
+            hashes[special] = kernel.mix(words.hashes(lower=False)[special])
         unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEPT_WORDS:
             self._forget()

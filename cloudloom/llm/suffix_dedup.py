@@ -66,12 +66,12 @@ def _names(schema: str) -> list[str]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]):
-    seps, values = kernel.separators("space"), kernel.byte_values(lower=True)
+    seps = kernel.separators("space")
     for batch in batches:
         ids = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
         for rows, data, offsets in kernel.chunks(batch):
             words = kernel.Words(data, offsets, seps)
-            yield ids[rows], words, words.hashes(values)
+            yield ids[rows], words, words.hashes(lower=True)
 
 
 def gram_keys(min_words: int):
