@@ -2,30 +2,36 @@
 
 Two texts link when den * |A & B| >= num * |A | B|, A and B their sets of distinct word shingles.
 
-1. Texts with equal sets form a class; classes are joined, not texts, so copies cost one row each.
-2. Shingles are ordered rare first: by the count of their slot in a hash-count sketch of all texts, then by hash. The
-   order is total, so prefix filtering is exact whatever the counts; they only make it cheap.
-3. The first n - ceil(num/den * n) + 1 shingles of each class are shuffled once, by shingle. Shingles that one class
-   alone holds leave at once.
-4. Lists of up to SHORT classes give all their pairs that pass the length and positional filters. A longer list is worked
-   through in ROUNDS rounds: its class with the least shingles before the common one, so with the least changes, is
-   compared with every other class that is not yet known to be connected with it, and is then done. Of what is left, all
-   pairs of classes not known to be connected are taken. So a group of near copies costs rows in proportion to its size,
-   and no link between components is lost: a pair is left out only where both sides are connected already.
-5. Each pair is verified once: by the suffix filter (the bound on the overlap from counts by hash range, which every
-   class carries as BUCKETS bytes), and, for the few pairs that pass it, by the exact intersection of their sets, which
-   are read again from one text of each class. Components of the verified links follow.
+1. Every shingle's documents are counted over the whole corpus (ngram_rows): exact counts, by hash partitions that grow
+   with the input. Shingles of one document can be in no overlap; they rank first and need no row.
+2. Texts with equal sets form a class; classes are joined, not texts, so copies cost one row each.
+3. Shingles are ordered rare first, ties by hash. The first n - ceil(num/den * n) + 1 shingles of each class, its prefix,
+   become rows (token, class). Lists of one class leave at once.
+4. Lists of up to SHORT classes give all their pairs that pass the length and positional filters. The two filters bound
+   the size of a class's partners from both sides, so a longer list is dealt out by size: a class is at home in the list
+   of its own size's step (STEP), and visits those of larger ones up to its bound; classes that no other is near enough
+   in size for leave. A list still longer than SHORT is worked through in rounds: a few of its classes, those of the
+   smallest connected groups and then with the least shingles before the common one, so with the least changes, are
+   compared with every other class that is not yet known to be connected with them, and are then done. Each round takes
+   twice as many, from PIVOTS[0] to PIVOTS[1]. A list is closed once all its classes are connected. So a group of near
+   copies costs rows in proportion to its size.
+5. Lists still open after ROUNDS rounds are split: two sets whose first common token is t share a second one among the
+   first n - ceil(num/den * n) + 1 shingles, and one more, that follow. Lists by such pairs of tokens are worked through
+   as before, now until all are closed. No list ever gives all its pairs, and no pair is left out unless both sides are
+   connected already.
+6. Each pair is verified once: by the suffix filter (the bound on the overlap from counts by hash range, which every
+   class carries as BUCKETS bytes), and, for the few pairs that pass it, by the exact intersection of their sets, of
+   which only shingles of several documents are kept. Components of the verified links follow.
 
 A text with fewer words than ``size`` has its whole sequence as one shingle; a text without words, or null, has none
 and links with nothing. Rows that share a doc_id are apart, but meet through it in component_id only if they link.
 Null doc_ids link like others and are never a component's smallest id; a component of null ids has a null id. Extra
-columns are ignored. An empty table gives an empty result. Shingles and classes are 64-bit hashes.
+columns are ignored. An empty table gives an empty result. Shingles are 64-bit hashes, classes have 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,34 +39,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel, sketch
+from . import kernel
 from .components import components, near_labels
+from .ngram_rows import block_words, blocks, doc_ids, gram_rows, replies, totals
 from .shared import written
 
 SHORT = 16
 ROUNDS = 2
-SKETCH_BITS = 21
+STEP = 1.03
+PIVOTS = (8, 1024)
 BUCKETS = 64
-PROFILE = f"doc_id long, n int, cid long, sig binary, {sketch.PARTIAL}"
-ENTRY = "token long, cid long, n int, pos int"
-SETS = "doc_id long, cid long, shingles binary"
+PROFILE = "doc_id long, n int, cid binary, sig binary, shared binary, prefix array<struct<token:bigint,pos:int>>"
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words = kernel.Words(data, offsets, kernel.separators("space"))
-    h = words.hashes(lower=True)
+def shingle_sets(row: dict, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a block."""
+    h, first = block_words(row)
     grams = kernel.ngrams(h, size)
-    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            grams_of = np.sort(grams[a : b - size + 1])
-            yield grams_of[np.concatenate(([True], grams_of[1:] != grams_of[:-1]))]
+            own = np.sort(grams[a : b - size + 1])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
         else:
-            yield kernel.ngrams(h[a:b], int(b - a)) if b > a else h[:0]
-
-
-def class_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield kernel.ngrams(h[a:b], b - a) if b > a else h[:0]
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -69,68 +70,46 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _columns(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    named = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named, strict=True)], names=[n for n, _ in named])
-
-
-def profiles(size: int):
-    """(doc_id, n, cid) of each text, and at the end of a task its part of the sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shift, crc = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64(64 - SKETCH_BITS), 0
-        for batch in batches:
-            ids = batch.column(0)
-            for rows, data, offsets in kernel.chunks(batch):
-                sets = list(shingle_sets(data, offsets, size))
-                k = len(sets)
-                every = np.concatenate(sets)
-                counts += np.bincount((every >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                crc = zlib.crc32(offsets.tobytes(), crc)
-                yield _columns(PROFILE, ids[rows], [len(s) for s in sets], [class_id(s) for s in sets], [signature(s) for s in sets], [None] * k, [None] * k, [None] * k)
-        if made := list(sketch.partials(counts, crc)):
-            part, salt, blob = zip(*made, strict=True)
-            nil = [None] * len(made)
-            yield _columns(PROFILE, nil, nil, nil, nil, part, salt, blob)
-
-    return run
-
-
-def prefixes(size: int, num: int, den: int, counts):
-    """(token, cid, n, pos) of the rare-first prefix of each class, once in a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, shift, seen = counts.value.astype(np.uint64), np.uint64(64 - SKETCH_BITS), set()
-        for batch in batches:
-            for _, data, offsets in kernel.chunks(batch):
-                found: list[tuple[np.ndarray, int, int]] = []
-                for s in shingle_sets(data, offsets, size):
-                    if not len(s) or (cid := class_id(s)) in seen:
-                        continue
-                    seen.add(cid)
-                    order = np.argsort(weight[s >> shift] << np.uint64(48) | s >> np.uint64(16), kind="stable")
-                    n = len(s)
-                    found.append((s[order[: n - (num * n + den - 1) // den + 1]], cid, n))
-                if found:
-                    lens = np.array([len(t) for t, _, _ in found])
-                    tokens = np.concatenate([t for t, _, _ in found]).view(np.int64)
-                    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens)
-                    yield _columns(ENTRY, tokens, np.repeat([c for _, c, _ in found], lens), np.repeat([n for _, _, n in found], lens).astype(np.int32), pos.astype(np.int32))
-
-    return run
-
-
-def chosen_sets(size: int, flags):
-    """(doc_id, cid, shingles) of the texts whose id may be among the chosen ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            batch = batch.filter(pa.array(sketch.may_hold(flags.value, ids.fill_null(0).to_numpy(zero_copy_only=False))))
-            for rows, data, offsets in kernel.chunks(batch):
-                sets = list(shingle_sets(data, offsets, size))
-                yield _columns(SETS, batch.column(0)[rows], [class_id(s) for s in sets], [s.tobytes() for s in sets])
+def needed(n: int, num: int, den: int) -> int:
+    """The least overlap of a set of n shingles with any set it links with."""
+    return (num * n + den - 1) // den
+
+
+def profiles(size: int, num: int, den: int):
+    """PROFILE of a block's texts; sig, shared and prefix, up to the shingle after it, of the first text of each class that
+    has a prefix token of several documents."""
+    tokens = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(block: pa.Table, reply: pa.Table) -> pa.Table:
+        tables = []
+        for row in block.to_pylist():
+            sets = list(shingle_sets(row, size))
+            unique, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            total, at, seen, out = totals(unique, count, reply)[inverse], 0, set(), []
+            places, held, ends = [], [], [0]
+            for s in sets:
+                n, t = len(s), total[at : at + len(s)]
+                at += n
+                cid, several = hashlib.blake2b(s.tobytes(), digest_size=16).digest(), t > 1
+                prefix = n - needed(n, num, den) + 1
+                if cid in seen or not n or n - several.sum() >= prefix:
+                    out.append((n, cid, None, None))
+                    ends.append(None)
+                    continue
+                seen.add(cid)
+                own, alone = s[several], n - int(several.sum())
+                first = np.lexsort((own, t[several]))[: prefix + 1 - alone]
+                held.append(own[first].view(np.int64))
+                places.append(np.arange(alone, alone + len(first), dtype=np.int32))
+                ends.append(len(first))
+                out.append((n, cid, signature(own), own.tobytes()))
+            made = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], k) for x, k in ((held, pa.int64()), (places, pa.int32()))], names=["token", "pos"])
+            offsets = np.cumsum([e or 0 for e in ends])
+            prefixes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made, mask=pa.array([e is None for e in ends[1:]]))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            tables.append(pa.table([doc_ids(row), *columns, prefixes.cast(tokens)], names=["doc_id", "n", "cid", "sig", "shared", "prefix"]))
+        return pa.concat_tables(tables) if tables else pa.schema([("doc_id", pa.int64()), *zip(("n", "cid", "sig", "shared"), kinds, strict=True), ("prefix", tokens)]).empty_table()
 
     return run
 
@@ -146,21 +125,22 @@ def suffix_filter(num: int, den: int):
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
             least = np.minimum(x, y)
             bound = np.where((least == 255).any(axis=1), np.minimum(m, n), least.sum(axis=1, dtype=np.int64))
-            yield batch.select([0, 1]).filter(pa.array((num + den) * bound >= num * (m + n)))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array((num + den) * bound >= num * (m + n)))
 
     return run
 
 
 def verifier(num: int, den: int):
+    """Pairs (a, b) of the columns a, b, m, n, x, y whose shared shingles x, y make a link of sets of m and n."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            left, right = batch.column(2), batch.column(3)
+            m, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            same, left, right = np.zeros(len(batch), np.int64), batch.column(4), batch.column(5)
             for i in range(len(batch)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                keep[i] = (num + den) * int((both[1:] == both[:-1]).sum()) >= num * (len(x) + len(y))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+                both = np.sort(np.concatenate((np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64))))
+                same[i] = (both[1:] == both[:-1]).sum()
+            yield batch.select([0, 1]).filter(pa.array((num + den) * same >= num * (m + n)))
 
     return run
 
@@ -173,76 +153,115 @@ def _may_link(x: str, y: str, num: int, den: int) -> str:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. classes has (cid, doc_id, n, sig), doc_id being one text of the class."""
-    side = lambda k, n, sig: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("sig").alias(sig))
-    near = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
-    near = written(near.mapInArrow(suffix_filter(num, den), "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-    wanted = written(wanted.join(classes, "cid").select("cid", "doc_id"), "wanted")
-    flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(wanted.select(F.col("doc_id").alias("id"))))
-    found = docs.mapInArrow(chosen_sets(size, flags), SETS)
-    same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["cid"] == wanted["cid"])
-    sets = written(found.join(wanted, same).select(found["cid"], "shingles"), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    links = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verifier(num, den), "a long, b long")
-    return written(links.distinct(), "links")
-
-
-def _short_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    lists = entries.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos")).alias("l"))
-    inner = f"transform(filter(slice(l, i + 2, {SHORT}), y -> {_may_link('x.', 'y.', num, den)}), y -> struct(least(x.cid, y.cid) AS a, greatest(x.cid, y.cid) AS b))"
-    return lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> {inner}))")).alias("p")).select("p.*").distinct()
-
-
-def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
-    return entries.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+class Join:
+    """The work on one table of classes: (cid, n, sig, shared, prefix), written."""
+
+    def __init__(self, classes: DataFrame, num: int, den: int):
+        self.classes, self.num, self.den = classes, num, den
+        self.links: DataFrame | None = None
+        self.label: DataFrame | None = None
+
+    def short_pairs(self, sized: DataFrame) -> DataFrame:
+        lists = sized.where(F.col("size") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos")).alias("l"))
+        inner = f"transform(filter(slice(l, i + 2, {SHORT}), y -> {_may_link('x.', 'y.', self.num, self.den)}), y -> struct(least(x.cid, y.cid) AS a, greatest(x.cid, y.cid) AS b))"
+        return lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> {inner}))")).alias("p")).select("p.*")
+
+    def by_size(self, sized: DataFrame) -> DataFrame:
+        """Entries of long lists in the lists of their sizes: token is that list, of the one that whole was."""
+        step = lambda n: f"cast(floor(ln(greatest({n}, 1)) / ln({STEP}D)) as int)"
+        bound = f"least(({self.num + self.den}L * (n - pos)) div {self.num} - n, ({self.den}L * n) div {self.num})"
+        rows = sized.where(F.col("size") > SHORT).select(F.col("token").alias("whole"), "cid", "n", "pos", F.expr(bound).alias("top"))
+        rows = rows.withColumn("own", F.expr(step("n"))).withColumn("g", F.expr(f"explode(sequence(own, greatest(own, {step('top')})))"))
+        rows = rows.select(F.xxhash64("whole", "g").alias("token"), "whole", "cid", "n", "pos", "top", (F.col("g") == F.col("own")).alias("home"))
+        lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.when(F.col("home"), F.col("top"))).alias("most"))
+        lists = written(lists.where("size > 1 AND most >= least").select("token", "size", "least"), "lists")
+        return written(rows.join(lists, "token").withColumn("home", F.expr("home AND top >= least")), "bysize")
+
+    def opened(self, rest: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+        """(entries of lists that are not closed, with label; classes p_cid of the lists that the others are to meet)."""
+        if self.label is None:
+            known = rest.withColumn("label", F.col("cid"))
+        else:
+            known = rest.join(self.label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        groups = known.groupBy("token", "label").agg(F.count("*").alias("size"), F.min(F.struct("pos", "cid", "n")).alias("m"), F.min("n").alias("least"), F.min(F.when(F.col("home"), F.col("n"))).alias("host"))
+        salted = groups.groupBy("token", F.pmod(F.xxhash64("label"), F.lit(pivots)).alias("salt")).agg(
+            F.count("*").alias("labels"), F.min("least").alias("least"), F.min("host").alias("host"), F.min(F.struct("size", "m.pos", "m.cid", "m.n", "label")).alias("p")
+        )
+        salted = written(salted, "pivots")
+        lists = salted.groupBy("token").agg(F.sum("labels").alias("labels"), F.min("least").alias("least"), F.min("host").alias("host"))
+        lists = lists.where("labels > 1 AND host IS NOT NULL").select("token", "least", "host")
+        known = known.join(lists, "token").withColumn("home", F.expr("home AND top >= least"))
+        return written(known.where("home OR top >= host"), "open"), salted.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "pos", "label")))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the pairs (a, b) that link to links, and renews label."""
+        side = lambda k, *names: self.classes.select(F.col("cid").alias(k), *(F.col(c).alias(x) for c, x in names))
+        near = pairs.distinct().join(side("a", ("n", "m"), ("sig", "x")), "a").join(side("b", ("n", "n"), ("sig", "y")), "b")
+        near = written(near.select("a", "b", "m", "n", "x", "y").mapInArrow(suffix_filter(self.num, self.den), "a binary, b binary, m int, n int"), "near")
+        both = near.join(side("a", ("shared", "x")), "a").join(side("b", ("shared", "y")), "b").select("a", "b", "m", "n", "x", "y")
+        links = written(both.mapInArrow(verifier(self.num, self.den), "a binary, b binary"), "links", near)
+        if self.links is None or not links.isEmpty():
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.label = written(near_labels(self.links), "labels")
+
+    def work(self, entries: DataFrame, most: int | None) -> DataFrame:
+        """Works through the lists of entries (token, cid, n, pos), the longest in up to most rounds; gives the entries of
+        those that stay open."""
+        lists = written(entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+        sized = written(entries.join(lists, "token"), "entries")
+        parts = self.by_size(sized)
+        pairs: DataFrame | None = self.short_pairs(sized).unionByName(self.short_pairs(parts))
+        columns = ["token", "whole", "cid", "n", "pos", "top", "home"]
+        pivots, done = PIVOTS[0], 0
+        known, chosen = self.opened(parts.where(F.col("size") > SHORT).select(*columns), pivots)
+        while True:
+            go_on = (most is None or done < most) and not known.isEmpty()
+            if go_on:
+                near = known.join(chosen, "token").where(f"label <> p_label AND {_may_link('', 'p_', self.num, self.den)}")
+                near = near.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"))
+                pairs = near if pairs is None else pairs.unionByName(near)
+            if pairs is not None:
+                self.verify(pairs)
+            if not go_on:
+                return known.select(F.col("whole").alias("token"), "cid", "n", "pos").distinct()
+            left = known.join(chosen.select("token", F.col("p_cid").alias("cid")), ["token", "cid"], "left_anti").select(*columns)
+            pivots, pairs, done = min(2 * pivots, PIVOTS[1]), None, done + 1
+            known, chosen = self.opened(left, pivots)
+
+    def split(self, rest: DataFrame) -> DataFrame:
+        """Entries of open lists by their token and one that follows; pos counts as if the first were beside it."""
+        many = rest.join(self.classes.select("cid", "prefix"), "cid")
+        after = many.select("token", "cid", "n", "pos", F.explode(F.filter("prefix", lambda x: x["pos"] > F.col("pos"))).alias("u"))
+        after = after.select(F.xxhash64("token", "u.token").alias("token"), "cid", "n", (F.col("u.pos") - 1).alias("pos"))
+        alone = rest.where(f"{self.num}L * n <= {self.den}L").select(F.xxhash64("token", F.lit(0)).alias("token"), "cid", "n", "pos")
+        return after.unionByName(alone)
 
 
 def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs; component_id is the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    made = written(docs.mapInArrow(profiles(size), PROFILE), "profiles")
-    profile = made.where(F.col("cid").isNotNull()).select("doc_id", "n", "cid")
-    one = F.min_by(F.struct("doc_id", "n", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")
-    classes = written(made.where("n > 0").groupBy("cid").agg(one).select("cid", "one.*"), "classes")
-    counts = spark.sparkContext.broadcast(sketch.total(made.where(F.col("part").isNotNull()).select("part", "salt", "blob"), SKETCH_BITS))
-    entries = docs.mapInArrow(prefixes(size, num, den, counts), ENTRY).repartition("token")
-    # the aggregate reads all columns, so that it shares the exchange of the entries
-    several = entries.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("n"), F.min("pos").alias("p"))
-    several = several.where("x <> y AND n > 0 AND p >= 0").select("token")
-    entries = written(entries.join(several, "token", "left_semi").distinct(), "entries")
-    lists = entries.groupBy("token").agg(F.count("*").alias("size"))
-    sized = written(entries.join(lists, "token"), "lists")
-    pairs = _short_pairs(sized.where(F.col("size") <= SHORT), num, den)
-    rest, label, links = sized.where(F.col("size") > SHORT).drop("size"), None, None
-    for k in range(ROUNDS + 1):
-        known = rest.withColumn("label", F.col("cid")) if label is None else _labelled(rest, label)
-        p = F.min(F.struct("pos", "cid", "n", "label")).alias("p")
-        opened = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), p).where("x <> y").select("token", "p")
-        known = written(known.join(opened, "token"), "open")
-        if label is not None and known.isEmpty():
-            break
-        if k < ROUNDS:
-            near = known.where(f"label <> p.label AND {_may_link('', 'p.', num, den)}")
-            near = near.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-        else:
-            near = known.alias("x").join(known.alias("y"), F.expr(f"x.token = y.token AND x.cid < y.cid AND x.label <> y.label AND {_may_link('x.', 'y.', num, den)}"))
-            near = near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        near = near if links is not None else near.unionByName(pairs)
-        new = _verified(near.distinct(), docs, classes, size, num, den)
-        links = new if links is None else links.unionByName(new)
-        label = written(near_labels(links), "labels")
-        rest = known.where(F.col("cid") != F.col("p.cid")).select("token", "cid", "n", "pos")
-    label = components(links, label)
-    label = label.withColumnRenamed("node", "cid")
-    rows = profile.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    smallest = rows.where(F.col("n") > 0).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(smallest, "label", "left")
+    blocked = blocks(docs)
+    grams = gram_rows(blocked, lambda row: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(row, size)]))
+    replied = written(replies(grams), "replies")
+    made = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(profiles(size, num, den), PROFILE)
+    profile = written(made, "profiles", blocked, replied)
+    classes = written(profile.where(F.col("prefix").isNotNull()).dropDuplicates(["cid"]).drop("doc_id"), "classes")
+    join = Join(classes, num, den)
+    prefix_length = f"n - (({num}L * n + {den - 1}) div {den}) + 1"
+    entries = classes.select("cid", "n", F.explode(F.filter("prefix", lambda x: x["pos"] < F.expr(prefix_length))).alias("p"))
+    rest = join.work(entries.select("p.token", "cid", "n", "p.pos"), ROUNDS)
+    if not rest.isEmpty():
+        join.work(join.split(rest), None)
+    # a class is known by its smallest doc_id from here on, so that a component's label has it
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))).alias("w")
+    named = profile.where("n > 0").groupBy("cid").agg(who).select("cid", F.struct("w.no", "w.id", "cid").alias("node"))
+    named = written(named, "named")
+    end = lambda k, name: named.select(F.col("cid").alias(k), F.col("node").alias(name))
+    links = written(join.links.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    found = named.join(components(links), "node", "left").select("cid", F.coalesce("label", "node").alias("label"))
+    found = written(found.select("cid", F.when(~F.col("label.no"), F.col("label.id")).alias("component_id")), "components")
+    rows = profile.select("doc_id", "n", "cid").join(found, "cid", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
