@@ -22,7 +22,7 @@ def frame(spark, rows, extra=True):
     """(doc_id, text, lang) and columns whose names clash with the operators' own."""
     df = spark.createDataFrame([(i, t, None if k % 3 == 0 else "en" if k % 3 == 1 else "fr") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string")
     if extra:
-        df = df.withColumns({c: F.lit(7) for c in ("n_words", "h", "token", "cid", "label", "kept", "n_lines", "id", "uid", "rank", "block", "score", "__drop", "item")})
+        df = df.withColumns({c: F.lit(7) for c in ("n_words", "h", "token", "cid", "label", "kept", "n_lines", "id", "uid", "rank", "block", "score", "item", "row", "own", "lines", "gone", "__drop", "__id", "__w", "__x", "__t", "__c", "__h", "__m", "__kept", "__lang", "__row")})
     return df
 
 
@@ -32,7 +32,7 @@ OPERATORS = {
     "license": lambda d: license_scan.scanned(d),
     "contained": lambda d: decontaminate.contained(d, d.select(F.col("doc_id").alias("item_id"), "text")),
     "lm": lambda d: lm_score.scored(d),
-    "lines": lambda d: line_dedup.dedup_lines(d.drop("__drop")),
+    "lines": lambda d: line_dedup.dedup_lines(d),
     "jaccard": lambda d: jaccard_join.linked(d),
     "pack": lambda d: packing.pack(d, TOKENIZER),
     "suffix": lambda d: suffix_dedup.repeated_spans(d),
@@ -87,15 +87,34 @@ def test_jaccard_join(spark, size, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.jaccard_components(docs, size, num, 100)
 
 
+@pytest.mark.parametrize(("short", "rounds", "size", "num"), [(2, 0, 3, 90), (2, 0, 2, 60), (3, 1, 1, 50)])
+def test_jaccard_join_splits_lists_that_stay_open(spark, monkeypatch, short, rounds, size, num):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    docs = random_texts(size + 20, 40, base=30, words=8) + [(1000 + i, f"v{i % 3}") for i in range(5)]
+    rows = jaccard_join.linked(frame(spark, docs), size, num, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.jaccard_components(docs, size, num, 100)
+
+
+def test_word_hashes_have_no_structure():
+    flip, text = str.maketrans("ab", "ba"), "a"
+    while len(text) < 1024:
+        text += text.translate(flip)  # the Thue-Morse word, which collides with its complement modulo 2^64
+    words = [text, text.translate(flip), "ab", "aB", "abcdefgh", "abcdefghi", "abcdefgh\0", "x" * 127, "x" * 128, "x" * 129, "x" * 5000]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found = kernel.Words(data, np.array([0, len(data)]), kernel.separators("space"))
+    assert len(set(found.hashes(lower=False).tolist())) == len(words) and len(set(found.hashes(lower=True).tolist())) == len(words) - 1
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     pool = ["The quick brown fox", " the QUICK brown fox\t", "short", "", "Ünique line É here", "another long line of text"] + [f"line number {i} of many" for i in range(12)]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(40)]
     want = brute.line_dedup(docs)
-    for r in line_dedup.dedup_lines(frame(spark, docs).drop("__drop")).collect():
+    for r in line_dedup.dedup_lines(frame(spark, docs)).collect():
         n, kept = want[r["doc_id"]]
         assert (r["n_lines"], r["n_dropped"], r["text"]) == (n, n - len(kept), "\n".join(kept))
-    three = line_dedup.dedup_lines(frame(spark, [(1, "same long line"), (2, "same long line"), (3, "x")]).drop("__drop"), min_docs=3)
+    three = line_dedup.dedup_lines(frame(spark, [(1, "same long line"), (2, "same long line"), (3, "x")]), min_docs=3)
     assert sum(r["n_dropped"] for r in three.collect()) == 0
 
 
