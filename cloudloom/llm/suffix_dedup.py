@@ -3,17 +3,18 @@
 1. In every run of ``min_words - K + 1`` consecutive K-word grams of a text, the gram with the least hash is retained
    (the first of equals). The choice depends on content alone, so each window of ``min_words`` words has one gram that is
    its own, and all copies of the window have the same one at the same place.
-2. Grams that occur once leave: one narrow shuffle counts them, and a filter of fixed size tells the second scan which
-   suffixes to emit. A false hit only costs a row.
-3. The retained suffixes carry 32-bit hashes of the words around their gram, as far as a window of ``min_words`` words
-   through the gram can reach, and which windows are the gram's own. They are written and range-sorted by gram and words
-   to the right; those that may still repeat are written and range-sorted by gram and words to the left. A gram that very
-   many documents share is split over partitions by what surrounds it.
+2. The retained suffixes carry 32-bit hashes of the words around their gram, as far as a window of ``min_words`` words
+   through the gram can reach, and which windows are the gram's own. Suffixes of a document that are equal in all this,
+   as in a run of one word, are one row with many places.
+3. The rows are range-sorted by gram and words to the right; those that may repeat are written and range-sorted by gram
+   and words to the left. A gram that very many documents share is split over partitions by what surrounds it.
 4. Each suffix is compared with the nearest suffix of another document on either side of it. A window that one of the
    two shares is found. The most words that they share in the sorted direction bound what any other document shares, so
-   a window beyond that bound cannot repeat. At the ends of a partition the bound is not known, and none is set.
-5. Windows that are neither found nor ruled out are left open. All suffixes' windows with the hash of an open one are
-   grouped by hash, and the open ones that several documents hold are found as well. So no repeat is missed.
+   a window beyond that bound cannot repeat; a gram that one document alone holds ends here. At the ends of a partition
+   the bound is not known, and none is set.
+5. Windows that are neither found nor ruled out are left open. All windows of their grams are joined with them and
+   grouped by hash, and the open ones that several documents hold are found as well. So no repeat is missed, whatever
+   the number of partitions.
 6. Found windows are united to spans of each document.
 
 So a passage costs rows in proportion to its copies; there are no pairs of documents. Words are white-space separated,
@@ -33,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernel, sketch
+from . import kernel
 from .shared import written
 
 K = 12
-FLAG_BITS = 23
-KEYS = "key long, doc_id long"
-ANCHOR = "key long, doc_id long, pos int, rightward binary, leftward binary, least int, most int"
+#: places are the gram's positions, 32 bits each.
+ANCHOR = "key long, doc_id long, places binary, rightward binary, leftward binary, least int, most int"
 #: may and found are bit rows: the own windows that start a words before the gram, for a = 0..min_words - K.
-ROW = "key long, doc_id long, pos int, rightward binary, leftward binary, may binary, found binary"
+ROW = "key long, doc_id long, places binary, rightward binary, leftward binary, may binary, found binary"
 #: A span, or with h an open window: lo..hi of doc_id, its gram and the hash of the words around it.
 SPAN = "doc_id long, lo int, hi int, key long, h long"
 WINDOW = "key long, h long, doc_id long"
@@ -74,34 +74,27 @@ def _hashed(batches: Iterator[pa.RecordBatch]):
             yield ids[rows], words, words.hashes(lower=True)
 
 
-def gram_keys(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, h in _hashed(batches):
-            if found := list(retained(words, h, min_words)):
-                keys = np.concatenate([x[2] for x in found]).view(np.int64)
-                docs = np.repeat(ids[[x[0] for x in found]], [len(x[2]) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], names=["key", "doc_id"])
-
-    return run
-
-
-def suffixes(min_words: int, flags):
-    """The retained suffixes whose gram may occur again, with the words around it; leftward is read from the gram outwards."""
+def suffixes(min_words: int):
+    """The retained suffixes with the words around their gram; leftward is read from the gram outwards."""
     reach = min_words - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, h in _hashed(batches):
-            short, out = (h >> np.uint64(32)).astype(">u4"), []
+            short, rows, places = (h >> np.uint64(32)).astype(">u4"), [], []
             for i, at, keys, least, most in retained(words, h, min_words):
                 a, b = int(words.first[i]), int(words.first[i + 1])
-                again = sketch.may_hold(flags.value, keys.view(np.int64), FLAG_BITS)
-                back = short[a:b][::-1]
-                for p, key, x, y in zip(at[again].tolist(), keys[again].view(np.int64).tolist(), least[again].tolist(), most[again].tolist(), strict=True):
-                    out.append((key, ids[i], p - a, short[p + K : min(p + K + reach, b)].tobytes(), back[b - p : b - p + reach].tobytes(), x, y))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=_names(ANCHOR))
+                back, seen = short[a:b][::-1], {}
+                for p, *own in zip(at.tolist(), keys.view(np.int64).tolist(), least.tolist(), most.tolist(), strict=True):
+                    row = (own[0], ids[i], short[p + K : min(p + K + reach, b)].tobytes(), back[b - p : b - p + reach].tobytes(), *own[1:])
+                    if row in seen:
+                        places[seen[row]].append(p - a)
+                    else:
+                        seen[row] = len(rows)
+                        rows.append(row)
+                        places.append([p - a])
+            for k in range(0, len(rows), 20_000):
+                key, doc, right, left, least, most = zip(*rows[k : k + 20_000], strict=True)
+                yield _batch(ANCHOR, key, doc, [np.array(x, np.int32).tobytes() for x in places[k : k + 20_000]], right, left, least, most)
 
     return run
 
@@ -184,22 +177,34 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 def _rows(rows: pa.Table, may: np.ndarray, found: np.ndarray, min_words: int) -> Iterator[pa.RecordBatch]:
     """The rows with a window that may repeat."""
     some = may.any(axis=1)
-    columns = [rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("key", "doc_id", "pos", "rightward", "leftward")]
+    columns = [rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("key", "doc_id", "places", "rightward", "leftward")]
     yield _batch(ROW, *columns, _packed(may[some]), _packed(found[some]))
 
 
 def _spans(rows: pa.Table, may: np.ndarray, found: np.ndarray, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Runs of found windows as spans, and the open windows."""
-    key, doc, pos = (rows.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+    """Runs of found windows as spans, and the open windows, at every place of their rows."""
+    key, doc = (rows.column(c).to_numpy() for c in ("key", "doc_id"))
+    blobs = rows.column("places").to_pylist()
+    many, every = np.array([len(x) // 4 for x in blobs]), np.frombuffer(b"".join(blobs), np.int32)
+    begin = np.cumsum(many) - many
+
+    def placed(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of i, position) of each place of the rows i."""
+        which = np.repeat(np.arange(len(i)), many[i])
+        own = np.arange(len(which)) - np.repeat(np.cumsum(many[i]) - many[i], many[i])
+        return which, every[begin[i][which] + own]
+
     step = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (i, least), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
-    yield _batch(SPAN, doc[i], pos[i] - end + 1, pos[i] - least + min_words, key[i], pa.nulls(len(i), pa.int64()))
+    which, pos = placed(i)
+    yield _batch(SPAN, doc[i[which]], pos - end[which] + 1, pos - least[which] + min_words, key[i[which]], pa.nulls(len(pos), pa.int64()))
     left = may & ~found
     some = left.any(axis=1)
     if some.any():
         i, a, h = _hashes(rows.filter(pa.array(some)), left[some], min_words)
         i = np.flatnonzero(some)[i]
-        yield _batch(SPAN, doc[i], pos[i] - a, pos[i] - a + min_words, key[i], h)
+        which, pos = placed(i)
+        yield _batch(SPAN, doc[i[which]], pos - a[which], pos - a[which] + min_words, key[i[which]], h[which])
 
 
 def compare(min_words: int, chain: str):
@@ -231,17 +236,15 @@ def compare(min_words: int, chain: str):
     return run
 
 
-def windows(min_words: int, flags):
-    """The windows of rows sorted by right context whose hash may be that of an open window."""
+def windows(min_words: int):
+    """The windows, by gram and hash, of rows sorted by right context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 rows = pa.Table.from_batches([batch])
                 i, _, h = _hashes(rows, _bits(rows.column("may"), min_words - K + 1), min_words)
-                hit = sketch.may_hold(flags.value, h, FLAG_BITS)
-                i = i[hit]
-                yield _batch(WINDOW, rows.column("key").to_numpy()[i], h[hit], rows.column("doc_id").to_numpy()[i])
+                yield _batch(WINDOW, rows.column("key").to_numpy()[i], h, rows.column("doc_id").to_numpy()[i])
 
     return run
 
@@ -259,17 +262,16 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if min_words < K:
         raise ValueError(f"min_words must be at least {K}")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    keys = docs.mapInArrow(gram_keys(min_words), KEYS).groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(keys.where("x <> y").select(F.col("key").alias("id")), FLAG_BITS))
-    rows = written(docs.mapInArrow(suffixes(min_words, flags), ANCHOR), "suffixes")
-    for chain, schema in (("rightward", ROW), ("leftward", SPAN)):
-        by = ["key", chain, "doc_id", "pos"]
+    rows = docs.mapInArrow(suffixes(min_words), ANCHOR)
+    for chain, other, schema in (("rightward", "leftward", ROW), ("leftward", "rightward", SPAN)):
+        by = ["key", chain, "doc_id", other]
         ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
         before, rows = rows, written(ordered.mapInArrow(compare(min_words, chain), schema), chain)
     left = rows.where(F.col("h").isNotNull())
-    flags = docs.sparkSession.sparkContext.broadcast(sketch.id_filter(left.select(F.col("h").alias("id")), FLAG_BITS))
-    held = before.mapInArrow(windows(min_words, flags), WINDOW).groupBy("key", "h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    left = left.join(held.where("x <> y").select("key", "h"), ["key", "h"], "left_semi")
+    wanted = written(left.select("key", "h").distinct(), "open")
+    held = before.join(wanted.select("key"), "key", "left_semi").mapInArrow(windows(min_words), WINDOW).join(wanted, ["key", "h"], "left_semi")
+    held = held.groupBy("key", "h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("key", "h")
+    left = left.join(written(held, "held"), ["key", "h"], "left_semi")
     found = rows.where(F.col("h").isNull()).select("doc_id", "lo", "hi").unionByName(left.select("doc_id", "lo", "hi"))
     found = found.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
     return united(found).withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,28 @@ def test_repeated_passages_behind_nearer_neighbours(spark):
     assert got == brute.repeated(docs, 50)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_repeated_passages_whatever_the_partitions(spark, partitions):
+    """One document with 60 copies of a passage and one with one; texts between two that share a passage; a run of a word."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, shared = fresh(60), fresh(60)
+    docs = [[w for _ in range(60) for w in passage + fresh(3)], fresh(9) + passage]
+    docs += [fresh(4) + shared[:50] + fresh(4), shared[:50], shared[25:] + fresh(9), fresh(9) + shared[:25] + fresh(9), shared[20:45], ["one"] * 900, ["one"] * 400 + ["end"]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {}
+        for r in suffix_dedup.repeated_spans(frame(spark, docs)).collect():
+            got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute.repeated(docs, 50) and len(got) == 6
+    ones = list(suffix_dedup.suffixes(50)(iter([pa.record_batch([pa.array([1]), pa.array(["one " * 20_000])], names=["doc_id", "text"])])))
+    assert sum(map(len, ones)) < 100
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     pool = ["MIT License", "mit", "license", "the Apache License", "general public", "General Public License v3", "foo", "Permission is hereby granted", "\n", "É"]
