@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 #: Turns of a conversation that one window group takes; a longer conversation is spread over several.
 BLOCK = 256
+#: The block of null turns, before all others.
+NULLS = -(1 << 62)
 
 
 def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, pos, p, q): p and q are the rolling hash of the conversation up to the turn."""
     rows = conversations.select("conv_id", "turn", "role", "text").distinct()
-    rows = rows.withColumn("blk", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).cast("long"))
+    rows = rows.withColumn("blk", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(NULLS)))
     order = [F.asc_nulls_first(c) for c in ("turn", "role", "text")]
     inside = Window.partitionBy("conv_id", "blk").orderBy(*order)
     blocks = rows.groupBy("conv_id", "blk").agg(F.count("*").alias("n"))
