@@ -7,8 +7,9 @@ from .quality import CLASSES, COMMON_WORDS
 _OP5 = r"""
 WITH words AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
                UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
-starts AS (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5),
-shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+lens AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 1 AND len(w) > 0),
+starts AS (SELECT side, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, lens WHERE len(w) >= k AND (side = 0 OR k = least(len(w), 5))),
+shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + k - 1], ' ') AS s FROM starts),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, z.n AS n_item, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / z.n AS containment
 FROM shingles b JOIN shingles d ON b.s = d.s AND b.side = 1 AND d.side = 0 JOIN sizes z ON z.id = b.id
@@ -37,14 +38,16 @@ WITH base AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(c
 named AS (SELECT doc_id, lang, t, w, len(w) AS n, [{counts}] AS c FROM base),
 classed AS (SELECT doc_id, lang, t, w, n, list_append(c, length(t) - list_sum(c)) AS c FROM named),
 counted AS (SELECT doc_id, lang, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM classed),
-class_ref AS (SELECT lang, i, CAST(sum(v) AS DOUBLE) / sum(sum(v)) OVER (PARTITION BY lang) AS q FROM counted GROUP BY lang, i),
+class_ref AS (SELECT lang, i, CAST(sum(v) AS DOUBLE) / sum(sum(v)) OVER (PARTITION BY lang) AS q
+              FROM (SELECT lang, i, v FROM counted WHERE lang IS NOT NULL UNION ALL SELECT NULL, i, v FROM counted) GROUP BY lang, i),
 class_js AS (SELECT doc_id, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS d
              FROM (SELECT x.doc_id, CAST(x.v AS DOUBLE) / greatest(length(z.t), 1) AS p, r.q FROM counted x JOIN classed z USING (doc_id)
-                   JOIN class_ref r ON r.lang = x.lang AND r.i = x.i) GROUP BY doc_id),
+                   JOIN class_ref r ON r.lang IS NOT DISTINCT FROM x.lang AND r.i = x.i) GROUP BY doc_id),
 common AS (SELECT doc_id, lang, w, count(*) AS c FROM (SELECT doc_id, lang, lower(unnest(w)) AS w FROM base) WHERE w IN ({listed}) GROUP BY ALL),
-totals AS (SELECT lang, sum(n) AS n FROM classed GROUP BY lang),
-word_ref AS (SELECT lang, w, CAST(sum(c) AS DOUBLE) / max(t.n) AS q FROM common JOIN totals t USING (lang) GROUP BY lang, w),
-cells AS (SELECT z.doc_id, coalesce(CAST(x.c AS DOUBLE), 0) / greatest(z.n, 1) AS p, r.q FROM classed z JOIN word_ref r ON r.lang = z.lang
+totals AS (SELECT lang, sum(n) AS n FROM (SELECT lang, n FROM classed WHERE lang IS NOT NULL UNION ALL SELECT NULL, n FROM classed) GROUP BY lang),
+word_ref AS (SELECT c.lang, w, CAST(sum(c) AS DOUBLE) / max(t.n) AS q FROM (SELECT lang, w, c FROM common WHERE lang IS NOT NULL UNION ALL SELECT NULL, w, c FROM common) c
+             JOIN totals t ON t.lang IS NOT DISTINCT FROM c.lang GROUP BY c.lang, w),
+cells AS (SELECT z.doc_id, coalesce(CAST(x.c AS DOUBLE), 0) / greatest(z.n, 1) AS p, r.q FROM classed z JOIN word_ref r ON r.lang IS NOT DISTINCT FROM z.lang
           LEFT JOIN common x ON x.doc_id = z.doc_id AND x.w = r.w),
 both_sides AS (SELECT doc_id, p, q FROM cells UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM cells GROUP BY doc_id),
 word_js AS (SELECT doc_id, sum(CASE WHEN p > 1e-15 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 1e-15 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS d FROM both_sides GROUP BY doc_id),
@@ -59,15 +62,15 @@ facts AS (SELECT z.doc_id, z.n AS n_words, length(z.t) - z.c[5] AS word_chars, z
 ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND (chars < 200 OR char_js <= CAST(0.25 AS DOUBLE)) AND (n_words < 50 OR word_js <= CASE WHEN n_words < 400 THEN CAST(0.45 AS DOUBLE) ELSE CAST(0.28 AS DOUBLE) END) AS kept
+       NOT base_failed AND (chars < 200 OR char_js <= CAST(0.25 AS DOUBLE)) AND (n_words < 50 OR word_js <= CAST(0.14 AS DOUBLE) + CAST(1.75 AS DOUBLE) / sqrt(n_words)) AS kept
 FROM ruled
 """
 
 
 _OP4 = """
 WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-whole AS (SELECT conv_id, count(*) AS n, list([role, text] ORDER BY turn, role, text) AS ts,
-                 string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat FROM rows GROUP BY conv_id),
+whole AS (SELECT conv_id, count(*) AS n, list([role, text] ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts,
+                 string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS chat FROM rows GROUP BY conv_id),
 one AS (SELECT ts, n, chat, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY ts, n, chat)
 SELECT conv_id, n AS n_turns, n_copies, chat FROM one
 WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.n > one.n AND w.ts[1:one.n] = one.ts)

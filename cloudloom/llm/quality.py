@@ -5,17 +5,17 @@ and the last. The method compares two histograms of a text with the references o
 histograms of all documents of that language:
 
 * character classes (CLASSES and the rest), if the text has at least ``min_chars`` characters;
-* common words (COMMON_WORDS and the rest), if the text has at least ``min_words`` words. From ``long_words`` words on,
-  where a clean text's histogram has little noise left, the limit is a tighter one.
+* common words (COMMON_WORDS and the rest), if the text has at least ``min_words`` words. The limit is ``word_limit`` and
+  what sampling adds to the distance of a clean text of n words, which falls with the root of n.
 
 Too short a text is not compared (the minimum-length guard). A text is kept if it passed the base rule and neither
 distance, from 0 to 1, is over its limit.
 
 Only DataFrame functions run here: every step is an expression on the row, but for the references (one partial
-aggregate by language) and their broadcast join, which MAX_LANGUAGES bounds.
+aggregate by language) and their join, which Spark broadcasts if they are small.
 
-Edge cases. Null text: no words, base_failed. Null lang, or one beyond the MAX_LANGUAGES most frequent: compared with
-the reference of all documents. Repeated rows and doc_ids: each row is judged by itself. An empty table gives an empty
+Edge cases. Null text: no words, base_failed. Null lang: compared with the reference of all
+documents. Repeated rows and doc_ids: each row is judged by itself. An empty table gives an empty
 table. Input columns pass through; result columns replace those of the same name.
 """
 
@@ -42,8 +42,6 @@ CLASSES = {
     "space": r"[^\x20\x09-\x0D]+",
     "wide": r"[\x00-\x7F]+",
 }
-MAX_LANGUAGES = 1000
-
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -70,9 +68,9 @@ def with_histograms(df: DataFrame) -> DataFrame:
 
 
 def histogram_sums(measured: DataFrame) -> DataFrame:
-    """(lang, k, v): documents (k = #docs), words (#words), characters by class (#0 ...) and common words, in one aggregate."""
+    """(lang, k, v): words (k = #words), characters by class (#0 ...) and common words, in one aggregate."""
     cell = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("long").alias("v"))
-    fixed = [cell("#docs", F.lit(1)), cell("#words", F.col("n_words")), *[cell(f"#{i}", F.col("__c")[i]) for i in range(len(CLASSES) + 1)]]
+    fixed = [cell("#words", F.col("n_words")), *[cell(f"#{i}", F.col("__c")[i]) for i in range(len(CLASSES) + 1)]]
     words = F.transform("__h", lambda x: F.struct(x["w"].alias("k"), x["n"].alias("v")))
     cells = measured.select(F.col("__lang").alias("lang"), F.explode(F.concat(F.array(*fixed), words)).alias("x"))
     return cells.groupBy("lang", F.col("x.k").alias("k")).agg(F.sum("x.v").alias("v"))
@@ -83,7 +81,6 @@ def references(measured: DataFrame) -> DataFrame:
     sums = written(histogram_sums(measured), "histograms")  # a few hundred rows by language
     by_key = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     own = by_key(sums.where(F.col("lang").isNotNull()).groupBy("lang"))
-    own = own.orderBy(F.desc(F.col("m")["#docs"]), "lang").limit(MAX_LANGUAGES)
     everything = by_key(sums.groupBy("k").agg(F.sum("v").alias("v"))).select(F.lit(None).cast("string").alias("lang"), "m")
     refs = own.unionByName(everything)
     amount = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0).cast("long"))
@@ -110,8 +107,9 @@ VERDICTS = ["char_js", "word_js", "kept"]
 
 
 def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns carry of docs, RESULTS and the histograms of each row."""
-    df = with_histograms(with_words(docs.select("*", F.col("lang").alias("__lang")).drop(*RESULTS, *VERDICTS)))
+    """The columns carry of docs as __own, so that no name clashes, RESULTS and the histograms of each row."""
+    df = docs.select(F.struct(*(F.col(c) for c in carry)).alias("__own"), "text", F.col("lang").alias("__lang"))
+    df = with_histograms(with_words(df))
     df = df.withColumn("n_words", F.size("__w").cast("long"))
     df = df.withColumn("word_chars", F.col("__chars") - F.col("__c")[list(CLASSES).index("space")])
     df = df.withColumn("n_symbols", F.col("__c")[list(CLASSES).index("symbol")])
@@ -126,18 +124,18 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
     cover = "aggregate(transform(__r, (x, k) -> CASE WHEN k = 0 THEN 3 ELSE least(3, x - __r[greatest(k - 1, 0)]) END), 0L, (a, x) -> a + x)"
     df = df.withColumn("n_repeat_words", F.expr(cover).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return df.select(*carry, *RESULTS, "__lang", "__chars", "__c", "__h", "__m")
+    return df.select("__own", *RESULTS, "__lang", "__chars", "__c", "__h", "__m")
 
 
 def judged(
-    docs: DataFrame, carry: list[str] | None = None, char_limit: float = 0.25, word_limit: float = 0.45, long_limit: float = 0.28, min_chars: int = 200, min_words: int = 50, long_words: int = 400
+    docs: DataFrame, carry: list[str] | None = None, char_limit: float = 0.25, word_limit: float = 0.14, word_noise: float = 1.75, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
     """The columns carry of docs (all, if None), RESULTS and VERDICTS. The measures are taken once and written to the
     shared folder: the references are summed from them, and the verdicts drawn from both."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS + VERDICTS]
     df = written(measures(docs, carry), "measures")
     refs = references(df)
-    ref = F.broadcast(refs.select(F.col("lang").alias("__l"), F.col("classes").alias("__qc"), F.col("words").alias("__qw")))
+    ref = refs.select(F.col("lang").alias("__l"), F.col("classes").alias("__qc"), F.col("words").alias("__qw"))
     df = df.join(ref.where(F.col("__l").isNotNull()), F.col("__lang") == F.col("__l"), "left")
     rest = ref.where(F.col("__l").isNull()).select(F.col("__qc").alias("__ac"), F.col("__qw").alias("__aw"))
     df = df.crossJoin(F.broadcast(rest))  # one row
@@ -153,6 +151,6 @@ def judged(
     other = _term((n - F.col("__m")) / n, F.lit(1.0) - q_all)
     df = df.withColumn("word_js", _distance(seen + (q_all - q_seen) / 2 + other))
     chars_ok = (F.col("__chars") < min_chars) | (F.col("char_js") <= char_limit)
-    words_ok = (F.col("n_words") < min_words) | (F.col("word_js") <= F.when(F.col("n_words") < long_words, word_limit).otherwise(long_limit))
+    words_ok = (F.col("n_words") < min_words) | (F.col("word_js") <= word_limit + word_noise / F.sqrt("n_words"))
     df = df.withColumn("kept", ~F.col("base_failed") & chars_ok & words_ok)
-    return df.select(*carry, *RESULTS, *VERDICTS)
+    return df.select(*(F.col("__own")[c].alias(c) for c in carry), *RESULTS, *VERDICTS)
