@@ -9,11 +9,14 @@ the rule picks one:
 * ``dot``: the largest weighted dot product of the piece and what is left.
 
 A piece's vector follows from its length, so equal lengths are placed together: the plan works on at most ``capacity``
-lengths and on groups of sequences with equal rooms, and is the same as one made piece by piece. Only the histogram
-(at most ``capacity`` rows) reaches the driver; a piece finds its place from its rank among the pieces of its length.
-Ranks are counted in SALTS groups a length, so a length that a third of all pieces share is spread too.
-
-Words are tokenised once and kept by hash in each worker, which is exact for tokenizers that lower-case and that split at
+lengths and on groups of sequences with equal rooms. Pieces that no open sequence takes open new ones, filled with as
+many of their length as every capacity allows; a plan made piece by piece does the same wherever tokens bind, and may
+choose other sequences where another capacity does. Only the histogram (at most ``capacity`` rows) reaches the driver; a
+piece finds its place from its rank among the pieces of its length. Ranks are counted in groups of about SALT_ROWS pieces
+of a length, so a length that a third of all pieces share is spread too.
+
+Words are tokenised once and kept by hash in each worker, which is right (but for words that
+share a 64-bit hash) for tokenizers that lower-case and that split at
 white space and between letters and punctuation: a comma or full stop after an ASCII letter is a word of its own, and
 words without "<", which can hold no special token, are kept by their lower-case form. Edge cases. Null or empty text: the end id alone. Repeated rows and doc_ids are packed as rows of their
 own, null doc_ids too. An empty table gives an empty result. Extra columns are ignored.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .shared import written
 
-SALTS = 64
+SALT_ROWS = 1 << 16
 #: Words whose ids a worker keeps; it starts afresh beyond.
 KEPT_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -182,9 +185,10 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacities: tuple[int, int, in
     return np.array(made, np.int64).reshape(-1, 5), used
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with rank, from 0 among the pieces of the same length; uid is a stored number of the row."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
+def ranked(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces with rank, from 0 among the pieces of the same length, of which there are up to most; uid is a stored number
+    of the row."""
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(max(64, most // SALT_ROWS))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     counts = counts.select("length", "salt", before.alias("before"))
@@ -211,4 +215,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, max_docs: i
             columns = [*batch.columns[:5], pa.array(table[row, 3] + rank - table[row, 1]), pa.array(table[row, 4])]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked(pieces, max((r["n"] for r in hist), default=0)).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
