@@ -7,7 +7,7 @@ A learned transition matrix links neighbouring words; forward-backward gives eac
 is the one with the largest mean posterior over all its words, which is also the score.
 
 Training. A document's words all carry its language. The sample is the ``train_docs`` documents of each language with
-the least hash of their id, among those of up to ``train_bytes`` bytes; where these are too few, the rest are passages of
+the least hash of their text, among those of up to ``train_bytes`` bytes; where these are too few, the rest are passages of
 at most ``train_bytes`` bytes of longer ones, from their first letter on. Every non-null lang is learned. Code-switched sequences are made by joining runs
 of words of different documents, so that transitions are learned from switches; weights and transitions maximise the
 conditional likelihood, with an L2 penalty, by full-batch steps of adaptive size. From SEQUENCE_LANGUAGES languages
@@ -178,9 +178,10 @@ def train(texts: list[str], langs: list[str], steps: int = 60, run_words: int =
     model = Model(languages, np.zeros((1 << GRAM_BITS, k)), np.zeros((3 << WORD_BITS, k)), np.zeros((k, k)), np.zeros(k))
     truth = np.eye(k)[labels]
     inner = np.arange(len(seq)) % length > 0
+    began = truth[~inner].sum(axis=0)
     moved = np.zeros((k, k))
     np.add.at(moved, (labels[:-1][inner[1:]], labels[1:][inner[1:]]), 1)
-    speed = [np.full_like(w, 1e-6) for w in (model.grams, model.words, model.moves)]
+    speed = [np.full_like(w, 1e-6) for w in (model.grams, model.words, model.moves, model.starts)]
     cuts = np.flatnonzero(np.diff(gram_word, prepend=-1))
     for _ in range(steps):
         per_word = np.add.reduceat(model.grams[grams_of], cuts, axis=0) + model.words[level[:, 1:]].sum(axis=1)
@@ -194,7 +195,7 @@ def train(texts: list[str], langs: list[str], steps: int = 60, run_words: int =
         for c in range(3):
             rowset = frequent if c == 0 else slice(None)
             np.add.at(d_words, level[rowset, c], by_word[rowset])
-        for w, d, s in zip((model.grams, model.words, model.moves), (d_grams, d_words, moved - expected), speed, strict=True):
+        for w, d, s in zip((model.grams, model.words, model.moves, model.starts), (d_grams, d_words, moved - expected, began - gamma[~inner].sum(axis=0)), speed, strict=True):
             d = d - penalty * w
             s += d * d
             w += 0.3 * d / np.sqrt(s)
@@ -240,7 +241,7 @@ def sample(docs: DataFrame, train_docs: int, train_bytes: int) -> list:
     """At most train_docs rows (text, lang) of each language, of at most train_bytes bytes; longer texts where short ones are too few."""
     full = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("long", (F.octet_length("text") > train_bytes).cast("int"))
     sizes = full.groupBy("lang").agg(F.sum(1 - F.col("long")).alias("n"), F.sum("long").alias("n_long"))
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     # twice the share that is needed reaches the ranking, whatever the size of the input
     share = F.least(F.lit(1.0), 2.0 * train_docs / F.when(F.col("long") == 0, F.col("n")).otherwise(F.col("n_long")) + 1e-9)
     near = full.join(F.broadcast(sizes), "lang")  # a row a language, as the model has
