@@ -269,12 +269,13 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
 
     Rows without words link with nothing: one row of each doc_id stays, and all with a null one.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stand
-    found = linked(rows.select(F.col("__row").alias("doc_id"), "text"), size, num, den).withColumnRenamed("doc_id", "__row")
-    found = found.join(rows.select("__row", F.col("doc_id").cast("long").alias("id")), "__row")
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")  # so that no name clashes
+    rows = written(docs.select(own, F.monotonically_increasing_id().alias("row")), "rows")  # written, so that the numbers stand
+    found = linked(rows.select(F.col("row").alias("doc_id"), "own.text"), size, num, den).withColumnRenamed("doc_id", "row")
+    found = found.join(rows.select("row", F.col("own.doc_id").cast("long").alias("id")), "row")
     wordless = F.col("n_shingles") == 0
-    group = (F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("id")), F.when(wordless & F.col("id").isNull(), F.col("__row")))
-    first = F.min_by("__row", F.struct(F.col("id").isNull(), "id", "__row")).alias("__row")
-    found = written(found.select("__row", "id", *(g.alias(f"g{k}") for k, g in enumerate(group))), "groups")
-    gone = found.select("__row").join(found.groupBy("g0", "g1", "g2").agg(first).select("__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    group = (F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("id")), F.when(wordless & F.col("id").isNull(), F.col("row")))
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row")
+    found = written(found.select("row", "id", *(g.alias(f"g{k}") for k, g in enumerate(group))), "groups")
+    gone = found.select("row").join(found.groupBy("g0", "g1", "g2").agg(first).select("row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*(F.col("own")[c].alias(c) for c in docs.columns))

@@ -67,11 +67,13 @@ def line_dedup(docs, min_chars=10):
 def contained(docs, items, n=5, threshold=0.8):
     out = {}
     for d, t in docs:
-        have = set(grams(plain_words((t or "").lower()), n))
+        w = plain_words((t or "").lower())
+        have = {k: set(grams(w, k)) for k in range(1, n + 1)}
         for i, s in items:
-            want = set(grams(plain_words((s or "").lower()), n))
-            if want and len(want & have) / len(want) >= threshold - 1e-9:
-                out[d, i] = (len(want), len(want & have))
+            v = plain_words((s or "").lower())
+            want = set(grams(v, min(n, len(v)))) if v else set()
+            if want and len(want & have[min(n, len(v))]) / len(want) >= threshold - 1e-9:
+                out[d, i] = (len(want), len(want & have[min(n, len(v))]))
     return out
 
 
@@ -119,7 +121,7 @@ def pieces(text, tokenizer, capacity, end_id):
     return [(k // capacity, k, len(p), zlib.crc32(p.tobytes())) for k in range(0, len(ids), capacity) for p in [ids[k : k + capacity]]]
 
 
-def quality(docs, common, classes, char_limit=0.25, word_limit=0.45, long_limit=0.28):
+def quality(docs, common, classes, char_limit=0.25, word_limit=0.14, word_noise=1.75):
     """docs (id, text, lang) -> (n_words, base_failed, kept)."""
     facts, by = {}, defaultdict(lambda: [Counter(), Counter(), 0, 0])
     for i, t, lang in docs:
@@ -149,7 +151,7 @@ def quality(docs, common, classes, char_limit=0.25, word_limit=0.45, long_limit=
         times = Counter(g)
         repeats = len({k for a, x in enumerate(g) if times[x] > 1 for k in range(a, a + 3)})
         failed = n < 50 or 100 * repeats > 50 * n
-        out[i] = (n, failed, not failed and (len(t) < 200 or char <= char_limit) and (n < 50 or word <= (word_limit if n < 400 else long_limit)))
+        out[i] = (n, failed, not failed and (len(t) < 200 or char <= char_limit) and (n < 50 or word <= word_limit + word_noise / math.sqrt(n)))
     return out
 
 

@@ -121,7 +121,7 @@ def test_line_dedup(spark):
 
 def test_containment(spark):
     rng = random.Random(5)
-    items = [(k, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randrange(3, 50)))) for k in range(25)]
+    items = [(k, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randrange(50)))) for k in range(25)] + [(100, "q7"), (101, "q7 q8"), (102, "Q1 q1 q1 q1")]
     docs = []
     for d in range(40):
         words = [f"q{rng.randrange(400)}" for _ in range(rng.randrange(200))]
@@ -130,7 +130,10 @@ def test_containment(spark):
             passage[rng.randrange(len(passage))] = "changed"
         at = rng.randrange(len(words) + 1)
         docs.append((d, " ".join(words[:at] + [p.upper() for p in passage] + words[at:])))
-    rows = decontaminate.contained(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contained(frame(spark, docs), table).collect()
+    bad = {d for d, _ in brute.contained(docs, items)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(frame(spark, docs), table).collect()) == [d for d, _ in docs if d not in bad]
     assert {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in rows} == brute.contained(docs, items)
 
 
