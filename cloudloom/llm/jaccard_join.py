@@ -47,7 +47,7 @@ from .shared import written
 SHORT = 16
 ROUNDS = 2
 STEP = 1.03
-PIVOTS = (8, 1024)
+PIVOTS = (32, 1024)
 BUCKETS = 64
 PROFILE = "doc_id long, n int, cid binary, sig binary, shared binary, prefix array<struct<token:bigint,pos:int>>"
 
@@ -196,8 +196,11 @@ class Join:
     def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs (a, b) that link to links, and renews label."""
         side = lambda k, *names: self.classes.select(F.col("cid").alias(k), *(F.col(c).alias(x) for c, x in names))
-        near = pairs.distinct().join(side("a", ("n", "m"), ("sig", "x")), "a").join(side("b", ("n", "n"), ("sig", "y")), "b")
-        near = written(near.select("a", "b", "m", "n", "x", "y").mapInArrow(suffix_filter(self.num, self.den), "a binary, b binary, m int, n int"), "near")
+        pairs = written(pairs.distinct(), "pairs")
+        if self.links is not None and pairs.isEmpty():
+            return
+        near = pairs.join(side("a", ("n", "m"), ("sig", "x")), "a").join(side("b", ("n", "n"), ("sig", "y")), "b")
+        near = written(near.select("a", "b", "m", "n", "x", "y").mapInArrow(suffix_filter(self.num, self.den), "a binary, b binary, m int, n int"), "near", pairs)
         both = near.join(side("a", ("shared", "x")), "a").join(side("b", ("shared", "y")), "b").select("a", "b", "m", "n", "x", "y")
         links = written(both.mapInArrow(verifier(self.num, self.den), "a binary, b binary"), "links", near)
         if self.links is None or not links.isEmpty():
