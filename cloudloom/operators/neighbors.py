@@ -20,13 +20,14 @@ def check_radii(radii: list[float]) -> list[float]:
     return [float(r) for r in radii]
 
 
-def radius_pairs(points: DataFrame, radius: float, slack: float = RADIUS_SLACK, include_self: bool = True) -> DataFrame:
-    """(grp, id, other, d, and the other's x, y, z) of pairs of one group at most radius apart, in both directions."""
+def radius_pairs(points: DataFrame, radius: float, slack: float = RADIUS_SLACK, include_self: bool = True, centers: DataFrame | None = None) -> DataFrame:
+    """(grp, id, other, d, and the other's x, y, z) of pairs of one group at most radius apart, in both directions, or from
+    the points centers only."""
     (radius,) = check_radii([radius])
     size = max(radius + slack, 1e-9)
     cell = lambda c: F.floor(F.col(c) / size)
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    left = points.select("grp", "id", "x", "y", "z", F.explode(steps).alias("sx"))
+    left = (points if centers is None else centers).select("grp", "id", "x", "y", "z", F.explode(steps).alias("sx"))
     left = left.select("*", F.explode(steps).alias("sy")).select("*", F.explode(steps).alias("sz"))
     left = left.select("grp", "id", "x", "y", "z", (cell("x") + F.col("sx")).alias("cx"), (cell("y") + F.col("sy")).alias("cy"), (cell("z") + F.col("sz")).alias("cz"))
     right = points.select("grp", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("cz"))
@@ -72,18 +73,26 @@ def clustering(points: DataFrame, radius: float) -> DataFrame:
 def nearest(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """(grp, id, other, d, rank): the k nearest other points, all of them in smaller groups; ties by id.
 
-    With a radius, points that have k neighbours within it are served by the grid join; only the others meet their
-    whole group.
+    Points that have k neighbours within the radius are served by a grid join at it; for the others alone the radius is
+    doubled until none is left, so no point meets its whole group unless that is where its neighbours are. Without a
+    radius, the first is that of a ball with k of the largest group's points, were they spread evenly.
     """
-    whole = lambda some: some.select("grp", "id", "x", "y", "z").join(points.select("grp", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz")), "grp").where(F.col("id") != F.col("other"))
-    far = lambda some: whole(some).select("grp", "id", "other", distance(F.col("x"), F.col("y"), F.col("z"), F.col("ox"), F.col("oy"), F.col("oz")).alias("d"))
+    spans = [F.max(c) - F.min(c) for c in "xyz"]
+    groups = points.groupBy("grp").agg(F.count("*").alias("n"), F.greatest(*spans).alias("span"))
+    n, span = groups.agg(F.max("n"), F.max("span")).first()
+    size = radius or max((span or 0.0) * (k / max(n or 1, 1)) ** (1 / 3), 1e-9)
+    left = points.join(groups.where("n > 1").select("grp", F.least(F.col("n") - 1, F.lit(k)).alias("wanted")), "grp")
+    found = None
+    while True:
+        near = radius_pairs(points, size, 0.0, include_self=False, centers=left).select("grp", "id", "other", "d")
+        last = size > 2 * (span or 0.0)  # beyond any distance within a group
+        served = near.groupBy("grp", "id").agg(F.count("*").alias("n")).join(left.select("grp", "id", "wanted"), ["grp", "id"]).where("n >= wanted").select("grp", "id")
+        part = near if last else near.join(served, ["grp", "id"], "left_semi")
+        found = part if found is None else found.unionByName(part)
+        left, size = left.join(served, ["grp", "id"], "left_anti"), 2 * size
+        if last or left.isEmpty():
+            break
     ordered = Window.partitionBy("grp", "id").orderBy("d", "other")
-    if radius is None:
-        found = far(points)
-    else:
-        near = radius_pairs(points, radius, 0.0, include_self=False).select("grp", "id", "other", "d")
-        served = near.groupBy("grp", "id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("grp", "id")
-        found = near.join(served, ["grp", "id"], "left_semi").unionByName(far(points.join(served, ["grp", "id"], "left_anti")))
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
 

@@ -42,19 +42,19 @@ def _group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _group_means(spark, sf_dir)
-    return rounded(resampling.bootstrap_samples(means, "m", "pos", 200, means.count()))
+    return rounded(resampling.bootstrap_samples(means, "m", "pos", resampling.VALIDATION_REPS, means.count()))
 
 
 def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _group_means(spark, sf_dir)
-    samples = resampling.bootstrap_samples(means, "m", "pos", 200, means.count())
+    samples = resampling.bootstrap_samples(means, "m", "pos", resampling.VALIDATION_REPS, means.count())
     return rounded(resampling.bootstrap_p_value(samples, 50.0, "greater"))
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = items(spark, sf_dir)
     per_group = metrics.pearson(li, SUPP, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"]).withColumn("part", F.col("l_suppkey") % 3)
-    return rounded(resampling.bootstrap_mean(per_group, "pearson", ["part"], 500))
+    return rounded(resampling.bootstrap_mean(per_group, "pearson", ["part"]))
 
 
 def kfold_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def kfold_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.group_folds(residues(spark, sf_dir), "user_id", 5, 42).select("event_id", "user_id", "fold")
 
 
+def kfold_shuffled_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of each fold, and the most folds that one group is in."""
+    folded = resampling.group_folds(residues(spark, sf_dir), "user_id", 5, 42).groupBy("user_id").agg(F.min("fold").alias("fold"), F.countDistinct("fold").alias("n"))
+    return folded.groupBy("fold").agg(F.count("*").alias("n_groups"), F.max("n").alias("folds_of_a_group"))
+
+
 def kfold_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.hashed_folds(residues(spark, sf_dir), ["event_id"], 10).select("event_id", "fold")
 
@@ -107,7 +113,7 @@ def linear_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = items(spark, sf_dir).withColumn("prediction", F.col("l_quantity") * 1500)
-    return rounded(protocols.dataset_summary(li, "l_suppkey", "l_linestatus", "l_extendedprice", "prediction", ["l_orderkey", "l_linenumber"], 200), 5)
+    return rounded(protocols.dataset_summary(li, "l_suppkey", "l_linestatus", "l_extendedprice", "prediction", ["l_orderkey", "l_linenumber"]), 5)
 
 
 def split_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +137,7 @@ def named_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ols_simple, ridge_lopo_1feature, per_group_ols, affine_rescale, bootstrap_lcg, bootstrap_pvalue, bootstrap_ci, kfold_mod, kfold_shuffled,
+        ols_simple, ridge_lopo_1feature, per_group_ols, affine_rescale, bootstrap_lcg, bootstrap_pvalue, bootstrap_ci, kfold_mod, kfold_shuffled, kfold_shuffled_sizes,
         kfold_hashed, rf_grouped_cv, gbt_grouped_cv, shap_abs, linear_audit, dataset_metrics, split_controls, validation_metrics,
         named_config,
     )
@@ -139,7 +145,7 @@ QUERIES = {
 
 _FIT = "regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i"
 _MEANS = "WITH g AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, avg(value) AS m FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM g)"
-_DRAWS = """, d AS (SELECT b AS rep, ((b * 1103515245 + k * 12345 + 12345) % 2147483648) % n AS pos FROM range(200) t(b), n, LATERAL (SELECT unnest(range(n)) AS k)),
+_DRAWS = """, d AS (SELECT b AS rep, ((b * 1103515245 + k * 12345 + 12345) % 2147483648) % n AS pos FROM range(1000) t(b), n, LATERAL (SELECT unnest(range(n)) AS k)),
 samples AS (SELECT rep, avg(m) AS mean FROM d JOIN g USING (pos) GROUP BY rep)"""
 
 ORACLE = {
@@ -164,6 +170,8 @@ g AS (SELECT l_suppkey, covar_pop(rq, rd) / nullif(stddev_pop(rq) * stddev_pop(r
 SELECT 'spearman_discount' AS metric, round(avg(s), 6) AS estimate FROM g UNION ALL SELECT 'auc_l_extendedprice', round(avg(a), 6) FROM g
 UNION ALL SELECT 'smd_l_extendedprice', round(avg(m), 6) FROM g UNION ALL SELECT 'odds_cheap', round(avg(o), 6) FROM g""",
     "kfold_mod": "SELECT c_custkey, c_custkey % 5 AS fold FROM customer",
+    "kfold_shuffled_sizes": """WITH g AS (SELECT count(DISTINCT user_id) AS n FROM events)
+SELECT f AS fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n_groups, CAST(1 AS BIGINT) AS folds_of_a_group FROM g, range(5) t(f)""",
     "named_config": """SELECT row_number() OVER (ORDER BY r, p, d, s) - 1 AS position, 'r' || ['6', '6p5'][r] || '_p' || ['0', '0p5'][p] || '_d' || (d - 1) || '_' || ['max', 'min', 'mean', 'std', 'zeros'][s] AS name
 FROM range(1, 3) a(r), range(1, 3) b(p), range(1, 3) c(d), range(1, 6) e(s)""",
 }

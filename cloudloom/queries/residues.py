@@ -170,7 +170,8 @@ def intersect_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    large = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 300000)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(large.select(F.col("o_custkey").alias("id")))
 
 
 def membership_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +288,7 @@ SELECT event_type, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(CAST(top
     "first_seen_order": "SELECT user_id, min(event_id) AS first_seen FROM events GROUP BY user_id",
     "union_sources": "SELECT c_custkey AS id, 'customer' AS source FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier",
     "intersect_ids": "SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders",
-    "except_ids": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except_ids": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     "membership_lookup": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'small' WHEN c_custkey % 3 = 0 THEN 'medium' WHEN c_mktsegment = 'MACHINERY' THEN 'large' ELSE '365_only' END AS membership FROM customer",
     "semi_sources": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "anti_cached": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",

@@ -53,10 +53,13 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def report(title: str, rows: DataFrame, path: str | None = None, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; more than limit rows are refused, not cut."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a report takes up to {limit} rows")
     head = "| " + " | ".join(rows.columns) + " |\n" + "|" + "---|" * len(rows.columns) + "\n"
     cell = lambda v: short_number(v) if isinstance(v, float) or v is None else str(v)
-    body = "".join("| " + " | ".join(cell(v) for v in r) + " |\n" for r in rows.limit(limit).collect())
+    body = "".join("| " + " | ".join(cell(v) for v in r) + " |\n" for r in found)
     text = f"# {title}\n\n{head}{body}"
     if path:
         Path(path).write_text(text)
