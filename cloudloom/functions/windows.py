@@ -48,10 +48,11 @@ def group_size(keys: list[str]) -> Column:
 
 
 def min_max(value: str, keys: list[str]) -> Column:
-    """Finite values scaled to 0..1 within keys; all zero where none is finite or all are equal."""
+    """Finite values scaled to 0..1 within keys, null for the others; all zero where none is finite or all are nearly equal."""
     w, v = Window.partitionBy(*keys), or_null(F.col(value))
     low, high = F.min(v).over(w), F.max(v).over(w)
-    return F.when(high > low, F.coalesce((v - low) / (high - low), F.lit(0.0))).otherwise(F.lit(0.0))
+    apart = high - low > 1e-8 + 1e-5 * F.abs(high)  # fixed values: the tolerances of numpy.isclose
+    return F.when(apart, (v - low) / (high - low)).otherwise(F.lit(0.0))
 
 
 def standardised(value: str, keys: list[str]) -> Column:

@@ -8,7 +8,6 @@ import pytest
 from cloudloom.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rf_grouped_cv", "gbt_grouped_cv", "shap_abs", "linear_audit", "split_controls"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def test_against_duckdb(spark, db, name):
     assert tidy(df.select(*columns).collect()) == tidy(want.select(*columns).fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
