@@ -72,14 +72,31 @@ def linear_audit(rows: DataFrame, key: str, features: list[str], target: str, or
     return out
 
 
-def validation_metrics(df: DataFrame, key: str, order: list[str], correlated: dict[str, tuple[str, str]], flag: str, scores: list[str], exposures: list[str]) -> DataFrame:
-    """(metric, estimate): means over groups of rank correlations, areas under the curve, mean differences, odds ratios."""
+def validation_values(df: DataFrame, key: str, order: list[str], correlated: dict[str, tuple[str, str]], flag: str, scores: list[str], exposures: list[str]) -> DataFrame:
+    """(metric, key, v) of each group: rank correlations, areas under the curve, mean differences, odds ratios."""
     parts = {f"spearman_{n}": metrics.spearman(df, [key], x, y, order, "v", ranks="all") for n, (x, y) in correlated.items()}
     parts |= {f"auc_{s}": metrics.auc(df, [key], flag, s, "v") for s in scores}
     parts |= {f"smd_{s}": metrics.mean_difference(df, [key], flag, s, "v") for s in scores}
     parts |= {f"odds_{e}": metrics.odds_ratio(df, [key], flag, e, "v") for e in exposures}
     out = None
     for name, part in parts.items():
-        one = part.agg(F.avg("v").alias("estimate")).select(F.lit(name).alias("metric"), "estimate")
+        one = part.select(F.lit(name).alias("metric"), key, F.col("v").cast("double").alias("v"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def validation_metrics(df: DataFrame, key: str, order: list[str], correlated: dict[str, tuple[str, str]], flag: str, scores: list[str], exposures: list[str]) -> DataFrame:
+    """(metric, estimate): means over groups of validation_values()."""
+    return validation_values(df, key, order, correlated, flag, scores, exposures).groupBy("metric").agg(F.avg("v").alias("estimate"))
+
+
+def validation_table(values: DataFrame, key: str, alternatives: dict[str, str] | None = None, reps: int = resampling.VALIDATION_REPS, seed: int = resampling.CI_SEED) -> DataFrame:
+    """(metric, estimate, low, high, p) of validation_values(), against no effect: 0 for correlations and differences, 0.5 for
+    areas, 1 for odds ratios. The alternative is "greater" where alternatives names no other."""
+    kind = F.substring_index("metric", "_", 1)
+    null = F.when(kind == "auc", 0.5).when(kind == "odds", 1.0).otherwise(0.0)
+    side = F.lit("greater")
+    for name, other in (alternatives or {}).items():
+        side = F.when(F.col("metric") == name, other).otherwise(side)
+    tests = values.select("metric").distinct().select("metric", side.alias("alternative"), null.alias("null_value"))
+    return resampling.bootstrap_tests(values, tests, [key], reps, seed)

@@ -129,6 +129,17 @@ def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(protocols.validation_metrics(li, "l_suppkey", order, {"discount": ("l_quantity", "l_discount")}, "top", ["l_extendedprice"], ["cheap"]))
 
 
+def validation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = items(spark, sf_dir).withColumn("top", F.col("l_quantity") >= 40).withColumn("cheap", F.col("l_discount") >= 0.05)
+    values = protocols.validation_values(li, "l_suppkey", ["l_orderkey", "l_linenumber"], {"discount": ("l_quantity", "l_discount")}, "top", ["l_extendedprice"], ["cheap"])
+    return rounded(protocols.validation_table(values, "l_suppkey", {"spearman_discount": "less", "odds_cheap": "two-sided"}))
+
+
+def per_group_ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = models.ridge_cv_each_group(items(spark, sf_dir), "l_suppkey", ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return rounded(made)
+
+
 def named_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = FeatureConfig((6.0, 6.5), "constant", "std", (0, 1), (0.0, 0.5))
     return spark.createDataFrame([(i, n) for i, n in enumerate(config.names())], "position long, name string")
@@ -138,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ols_simple, ridge_lopo_1feature, per_group_ols, affine_rescale, bootstrap_lcg, bootstrap_pvalue, bootstrap_ci, kfold_mod, kfold_shuffled, kfold_shuffled_sizes,
-        kfold_hashed, rf_grouped_cv, gbt_grouped_cv, shap_abs, linear_audit, dataset_metrics, split_controls, validation_metrics,
+        kfold_hashed, rf_grouped_cv, gbt_grouped_cv, shap_abs, linear_audit, dataset_metrics, split_controls, validation_metrics, validation_table, per_group_ridge_cv,
         named_config,
     )
 }

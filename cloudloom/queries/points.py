@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import complexes, neighbors, spectral, summary
+from ..operators import complexes, laplacian, neighbors, spectral, summary
 from ..plans.config import FeatureConfig
 from ..sources import pdb
 from .common import POINTS_SQL, RADII, points, rounded
@@ -25,6 +25,12 @@ def radius_neighbors_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(near.groupBy("grp", "id", "radius").agg(F.count("*").alias("n"), F.max("d").alias("farthest")), 9)
 
 
+def cloud_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = points(spark, sf_dir).withColumn("label", F.col("id").cast("double"))
+    made = laplacian.cloud_matrices(cloud, "grp", "id", ["x", "y", "z"], "label", RADII, 0.5, constant=False, scale=True)
+    return rounded(made.where("i < j AND value <> 0").select("grp", "radius", "i", "j", "value"), 9)
+
+
 def contact_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.contact_degree(points(spark, sf_dir), RADII).select("grp", "id", "radius", "degree")
 
@@ -160,7 +166,7 @@ def pdb_parse_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        radius_pairs, radius_neighbors_multi, contact_degree, contact_degree_norm, clustering_coeff, knn_pairs, knn_mean_dist,
+        radius_pairs, radius_neighbors_multi, cloud_l0, contact_degree, contact_degree_norm, clustering_coeff, knn_pairs, knn_mean_dist,
         local_edges_weighted, triangles_count, boundary_signs, l0_degrees, spectral0_const, spectral0_labeled, spectral0_pwidth,
         degenerate_neighborhoods, spectral1_mean_std, spectral2_zeros_mean_std, spectral0_minmedian, spectral12_kernel,
         feature_table, feature_unpivot, feature_pivot, topk_features, config_json, pdb_parse_fixed, pdb_parse_fallback,
@@ -218,6 +224,10 @@ SELECT protein_id, n AS residue_index, CAST(id AS INTEGER) AS atom_serial, 'ALA'
   CAST(trim(t[1:8]) AS DOUBLE) AS x, CAST(trim(t[9:16]) AS DOUBLE) AS y, CAST(trim(t[17:24]) AS DOUBLE) AS z, CAST(trim(t[25:30]) AS DOUBLE) AS b_factor FROM text"""
 
 ORACLE = {
+    "cloud_l0": f"""WITH {POINTS_SQL}, r AS (SELECT grp, id, row_number() OVER w - 1 AS k, CAST(id - min(id) OVER g AS DOUBLE) / greatest(max(id) OVER g - min(id) OVER g, 1) AS l
+  FROM points WINDOW w AS (PARTITION BY grp ORDER BY id), g AS (PARTITION BY grp))
+SELECT pairs.grp, radius, a.k AS i, b.k AS j, round(-(1 + abs(a.l - b.l)) / (1 + CAST(0.5 AS DOUBLE) * d), 9) AS value FROM pairs JOIN r a USING (grp, id) JOIN r b ON b.grp = pairs.grp AND b.id = other,
+(SELECT unnest([{", ".join(_d(r) for r in RADII)}]) AS radius) WHERE a.k < b.k AND d <= radius + {_SLACK}""",
     "radius_pairs": f"WITH {POINTS_SQL} SELECT grp, id, other, round(d, 9) AS d FROM pairs WHERE d <= {_d(R)} + {_SLACK}",
     "radius_neighbors_multi": f"WITH {POINTS_SQL}, {_radii(RADII)} SELECT grp, id, radius, count(*) AS n, round(max(d), 9) AS farthest FROM pairs, radii WHERE d <= radius + {_SLACK} GROUP BY ALL",
     "contact_degree": f"WITH {POINTS_SQL}, {_radii(RADII)} SELECT grp, id, radius, count(*) - 1 AS degree FROM pairs, radii WHERE d <= radius GROUP BY ALL",

@@ -52,6 +52,17 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_evaluation(per_group: DataFrame, summary: DataFrame, folder: str, name: str) -> dict:
+    """cv_metrics_<name>, a CSV table of the groups, and cv_summary_<name>.json, the one row of summary, which is returned."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    write_metrics(per_group, f"{folder}/cv_metrics_{name}.csv")
+    row = summary.limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("a summary has one row")
+    Path(folder, f"cv_summary_{name}.json").write_text(json.dumps(row[0].asDict(), indent=2) + "\n")
+    return row[0].asDict()
+
+
 def report(title: str, rows: DataFrame, path: str | None = None, limit: int = 1000) -> str:
     """A small result as a Markdown table; more than limit rows are refused, not cut."""
     found = rows.limit(limit + 1).collect()

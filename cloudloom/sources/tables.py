@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +56,60 @@ def one_hot_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pdbid", (F.row_number().over(Window.partitionBy("pdbid").orderBy("__row")) - 1).alias("position"), "features")
 
 
+def paired(features: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """(pdbid, position, features, raw, target) of structures that both sides have with equal counts of rows, and whose target
+    varies: rows (pdbid, position, features) and (pdbid, position, target column), the target as a z-score within the
+    structure. Null targets take no part in it and stay null."""
+    left = features.select("pdbid", "position", "features", F.lit(True).alias("a"))
+    right = targets.select("pdbid", "position", or_null(F.col(target).cast("double")).alias("raw"), F.lit(True).alias("b"))
+    w = Window.partitionBy("pdbid")
+    own = left.join(right, ["pdbid", "position"], "full").withColumn("missing", F.count_if(F.col("a").isNull() | F.col("b").isNull()).over(w)).where("missing = 0")
+    own = own.withColumn("deviation", F.stddev_pop("raw").over(w)).withColumn("mean", F.avg("raw").over(w)).where("deviation > 0")
+    return own.select("pdbid", "position", "features", "raw", ((F.col("raw") - F.col("mean")) / F.col("deviation")).alias("target"))
+
+
+def one_hot_targets(spark: SparkSession, folder: str, target: str = "B-factor") -> DataFrame:
+    """paired() one-hot files and annotation tables of a folder."""
+    return paired(one_hot_rows(spark, folder), annotations(spark, folder), target)
+
+
+def _matrix(suffix: str):
+    """Rows (id, position, values) of the NumPy files of binaryFile rows (path, content)."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                values = np.load(io.BytesIO(content), allow_pickle=False)
+                values = values.reshape(len(values), -1).astype(float)
+                name = path.rsplit("/", 1)[-1].removesuffix(suffix)
+                for k in range(0, len(values), 4096):
+                    part = values[k : k + 4096]
+                    yield pd.DataFrame({"pdbid": name, "position": np.arange(k, k + len(part)), "values": part.tolist()})
+
+    return run
+
+
+def matrices(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """(pdbid, position, values) of the NumPy matrices <id><suffix> of a folder; a matrix, such as a structure's, fits a task."""
+    files = spark.read.format("binaryFile").load(folder, pathGlobFilter=f"*{suffix}").select("path", "content")
+    return files.mapInPandas(_matrix(suffix), "pdbid string, position long, values array<double>")
+
+
+def cached_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """paired() cached feature matrices and targets, <id>_psl_features.npy and <id>_bfactors.npy (fixed names)."""
+    x = matrices(spark, folder, "_psl_features.npy").withColumnRenamed("values", "features")
+    y = matrices(spark, folder, "_bfactors.npy").select("pdbid", "position", F.col("values")[0].alias("y"))
+    return paired(x, y, "y")
+
+
+def first_existing(*paths: str) -> str:
+    """The first path that exists, on the driver's file system."""
+    for path in paths:
+        if Path(path).exists():
+            return path
+    raise FileNotFoundError(f"none of {', '.join(paths)} exists")
+
+
 def feature_names(text: str | None, width: int, default: list[str]) -> list[str]:
     """Names from a JSON list of the right length, else the default ones of that length, else numbered."""
     import json

@@ -10,7 +10,7 @@ from cloudloom import FeatureConfig, features_for_points
 from cloudloom.demo import run as run_demo
 from cloudloom.functions import metrics, windows
 from cloudloom.functions.columns import float_list, number_label, short_number
-from cloudloom.operators import alignment, models, neighbors, resampling, spectral, summary
+from cloudloom.operators import alignment, laplacian, models, neighbors, protocols, resampling, spectral, summary
 from cloudloom.plans.config import strategy
 from cloudloom.sources import pdb, sinks, tables
 from cloudloom.streaming.structures import write_features
@@ -252,3 +252,95 @@ def test_summaries(spark):
         summary.select_features(df, "^zz", ["m"])
     with pytest.raises(ValueError):
         summary.feature_source(df, "other", [], [])
+
+
+def test_cloud_laplacians(spark):
+    xyz, labels = np.array([(0, 0), (3, 0), (0, 4)], float), [2.0, 4.0, 2.0]
+    plain = laplacian.Cloud(xyz, radii=[2.0, 3.0, 9.0])
+    assert [np.diag(m).tolist() for m in plain.matrices()] == [[0, 0, 0], [1, 1, 0], [2, 2, 2]]
+    assert [m.shape for m in plain.matrices(1)] == [(0, 0), (1, 1), (3, 3)] and [m.tolist() for m in plain.matrices(2)][2] == [[3.0]]
+    assert np.allclose(laplacian.Cloud(xyz, labels, kind="RIPS", p=0.5, constant=False).matrices()[0], [[3 / 2.5 + 1 / 3, -3 / 2.5, -1 / 3], [-3 / 2.5, 3 / 2.5 + 3 / 3.5, -3 / 3.5], [-1 / 3, -3 / 3.5, 1 / 3 + 3 / 3.5]])
+    assert np.allclose(laplacian.Cloud(xyz, labels, constant=False, scale=True).matrices()[0], [[3, -2, -1], [-2, 4, -2], [-1, -2, 3]])
+    assert laplacian.Cloud(np.zeros((0, 3))).matrices()[0].shape == (0, 0) and laplacian.scaled_labels(np.array([5.0, 5.0])).tolist() == [0, 0]
+    for wrong in ({"kind": "cech"}, {"radii": []}, {"radii": [-1.0]}, {"p": -1.0}, {"labels": [1.0]}, {"labels": [1.0, 2.0, np.inf]}):
+        with pytest.raises(ValueError):
+            laplacian.Cloud(xyz, **wrong)
+    with pytest.raises(ValueError):
+        laplacian.Cloud([1.0, 2.0])
+    rng = np.random.default_rng(3)
+    cloud, own = rng.random((9, 3)), rng.random(9)
+    for degree in (0, 1, 2):
+        for values in laplacian.Cloud(cloud, own, radii=[0.6, 1.0], constant=False).eigenvalues(degree):
+            assert (values > -1e-9).all()
+    df = spark.createDataFrame([("g", i, *x, float(v)) for i, (x, v) in enumerate(zip(cloud.tolist(), own, strict=True))], "g string, i long, x double, y double, z double, l double")
+    got = {(r["degree"], r["stat"]): r["value"] for r in laplacian.cloud_statistics(df, "g", "i", ["x", "y", "z"], "l", [0.6], degrees=(0, 1), constant=False).collect()}
+    want = spectral.spectrum_statistics(np.linalg.eigvalsh(laplacian.Cloud(cloud, own, radii=[0.6], constant=False).matrices(1)[0]))
+    assert all(math.isclose(got[1, k], v, abs_tol=1e-9) for k, v in want.items()) and len(got) == 12
+
+
+def test_dense_complexes_are_refused(monkeypatch):
+    monkeypatch.setattr(spectral, "MAX_CELLS", 100)
+    with pytest.raises(ValueError, match="more than 100"):
+        spectral.local_spectra(np.zeros((8, 3)), None, 1.0, 0.0, (1,))
+
+
+def test_bootstrap_tests(spark):
+    rng = np.random.default_rng(0)
+    rows = [(m, g, float(v)) for m in ("auc_a", "odds_b", "spearman_c") for g, v in enumerate(rng.normal(0.8, 0.5, 12))] + [("auc_a", 12, float("nan")), ("auc_a", 13, None), ("smd_d", 0, None)]
+    values = spark.createDataFrame(rows, "metric string, g long, v double")
+    got = {r["metric"]: r for r in protocols.validation_table(values, "g", {"spearman_c": "less", "odds_b": "two-sided"}, reps=50).collect()}
+    for name, null, beyond in (("auc_a", 0.5, lambda m, o, z: m <= z), ("odds_b", 1.0, lambda m, o, z: np.abs(m - o) <= z), ("spearman_c", 0.0, lambda m, o, z: m >= z)):
+        x = np.array([v for m, _, v in rows if m == name and v is not None and np.isfinite(v)])
+        draw = np.random.default_rng(resampling.CI_SEED)
+        means = np.array([draw.choice(x, len(x)).mean() for _ in range(50)])
+        want = [x.mean(), np.quantile(means, 0.025), np.quantile(means, 0.975), (1 + beyond(means, x.mean(), null).sum()) / 51]
+        assert np.allclose([got[name][k] for k in ("estimate", "low", "high", "p")], want)
+    assert got["smd_d"]["estimate"] is None and got["smd_d"]["p"] is None
+    means = spark.createDataFrame([(0.1,), (0.4,), (0.9,)], "mean double")
+    assert resampling.bootstrap_p_value(means, 0.2, "two-sided", 0.3).first()["p"] == 0.75
+    with pytest.raises(ValueError):
+        resampling.bootstrap_p_value(means, 0.2, "two-sided")
+
+
+def test_ridge_with_chosen_penalty(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(15, 3))
+    y = x @ [1.0, 0.0, -2.0] + rng.normal(size=15)
+    df = spark.createDataFrame([("g", i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [("g", 99, None, 0.0, 0.0, 1.0)], "g string, i long, a double, b double, c double, y double")
+    got = models.ridge_cv_each_group(df, "g", ["i"], ["a", "b", "c"], "y").orderBy("i").collect()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def ridge(rows, alpha):
+        mean, centre = z[rows].mean(axis=0), y[rows].mean()
+        w = np.linalg.solve((z[rows] - mean).T @ (z[rows] - mean) + alpha * np.eye(3), (z[rows] - mean).T @ (y[rows] - centre))
+        return lambda q: centre + (q - mean) @ w
+
+    every = np.arange(15)
+    errors = [np.mean([(y[i] - ridge(every[every != i], a)(z[i])) ** 2 for i in every]) for a in models.CV_ALPHAS]
+    best = models.CV_ALPHAS[int(np.argmin(errors))]
+    assert len(got) == 15 and {r["alpha"] for r in got} == {best}
+    assert np.allclose([r["prediction"] for r in got], ridge(every, best)(z))
+
+
+def test_paired_sources(spark, tmp_path):
+    head = "sec_type,area,packing_density1,packing_density2,packing_density3,B-factor\n"
+    for name, values, hot in (("p1", (9, 11), 2), ("p2", (9, 11), 3), ("p3", (5, 5), 2), ("p4", (), 2)):
+        if values:
+            (tmp_path / f"{name}.csv").write_text(head + "".join(f"1,1,1,1,1,{v}\n" for v in values))
+            np.save(tmp_path / f"{name}_bfactors.npy", np.array(values, float))
+        (tmp_path / f"{name}-onehot.csv").write_text("0,1\n" * hot)
+        np.save(tmp_path / f"{name}_psl_features.npy", np.tile([0.0, 1.0], (hot, 1)))
+    for made in (tables.one_hot_targets(spark, str(tmp_path)), tables.cached_matrices(spark, str(tmp_path))):
+        assert [(r["pdbid"], r["position"], r["features"], r["raw"], r["target"]) for r in made.orderBy("position").collect()] == [("p1", 0, [0, 1], 9, -1), ("p1", 1, [0, 1], 11, 1)]
+    assert tables.first_existing(str(tmp_path / "none"), str(tmp_path)) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        tables.first_existing(str(tmp_path / "none"))
+
+
+def test_evaluation_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.5), ("b", 0.7)], "g string, pearson double")
+    got = sinks.write_evaluation(df, df.agg(F.count("*").alias("n_groups")), str(tmp_path), "rf")
+    assert got == {"n_groups": 2} and (tmp_path / "cv_summary_rf.json").read_text() == '{\n  "n_groups": 2\n}\n'
+    assert spark.read.csv(str(tmp_path / "cv_metrics_rf.csv"), header=True).count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_evaluation(df, df, str(tmp_path), "rf")
