@@ -87,7 +87,10 @@ class WordIds:
         if marks[-1]:
             special = marks[words.ends] > marks[words.starts]
             hashes[special] = kernel.mix(words.hashes(lower=False)[special])
-        unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        coded = pa.array(hashes).dictionary_encode()
+        unique, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        index = np.empty(len(unique), np.int64)
+        index[inverse] = np.arange(len(inverse))  # any place of a word will do
         if len(self.known) > KEPT_WORDS:
             self._forget()
         keys, raw = unique.tolist(), data.tobytes()
