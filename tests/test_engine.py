@@ -10,7 +10,7 @@ from cloudloom import FeatureConfig, features_for_points
 from cloudloom.demo import run as run_demo
 from cloudloom.functions import metrics, windows
 from cloudloom.functions.columns import float_list, number_label, short_number
-from cloudloom.operators import alignment, laplacian, models, neighbors, protocols, resampling, spectral, summary
+from cloudloom.operators import alignment, balls, laplacian, models, neighbors, protocols, resampling, spectral, summary
 from cloudloom.plans.config import strategy
 from cloudloom.sources import pdb, sinks, tables
 from cloudloom.streaming.structures import write_features
@@ -344,3 +344,45 @@ def test_evaluation_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "cv_metrics_rf.csv"), header=True).count() == 2
     with pytest.raises(ValueError):
         sinks.write_evaluation(df, df, str(tmp_path), "rf")
+
+
+def shuffled_rows(spark, df):
+    """Rows that the stages of df's jobs write to shuffles."""
+    spark.sparkContext.setJobGroup(group := f"rows-{id(df)}", "")
+    rows = df.collect()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return rows, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
+
+
+@pytest.mark.parametrize("name", ["degree0", "degree0_damped", "degree1", "degree2", "clustering", "edges", "degrees", "faces", "cloud"])
+def test_edges_and_triangles_of_dense_balls_are_not_shuffled(spark, name):
+    n = 60
+    points = cloud(spark, np.random.default_rng(0).random((n, 3)))
+    labelled = points.withColumn("label", F.col("id").cast("double"))
+    made = {
+        "degree0": lambda: spectral.degree0(points, [2.0]).where(f"n = {n} AND abs(mean - {n}) < 1e-9 AND std < 1e-4"),
+        "degree0_damped": lambda: spectral.degree0(points, [2.0], "center_labeled", 0.5).where(f"n = {n} AND max IS NULL"),
+        "degree1": lambda: spectral.degree1(points, [2.0]).where(f"abs(mean - {n}) < 1e-9"),
+        "degree2": lambda: spectral.degree2(points, [2.0]).where(f"abs(mean - {n}) < 1e-9"),
+        "clustering": lambda: neighbors.clustering(points, 2.0).where("clustering = 1"),
+        "edges": lambda: balls.edge_sums(points, [2.0], "center_labeled", 0.5, lengths=True).where(f"e = {n * (n - 1) // 2}"),
+        "degrees": lambda: balls.degrees(points, [2.0]).where(f"degree = {n - 1}"),
+        "faces": lambda: balls.signed_faces(points, [2.0]).where(f"n = {n - 2} AND sum_sign = n - 2 * (v - u - 1)"),
+        "cloud": lambda: laplacian.cloud_matrices(labelled, "grp", "id", ["x", "y", "z"], "label", [2.0], constant=False, scale=True),
+    }
+    rows, moved = shuffled_rows(spark, made[name]())
+    assert len(rows) == {"degrees": n * n, "faces": n * n * (n - 1) // 2, "cloud": n * n}.get(name, n)
+    assert moved < 40 * n < n * (n - 1) / 2 * 27  # points, for up to 27 cells, and not the edges of n balls
+
+
+def test_tiles_of_balls_do_not_change_them(spark):
+    points = cloud(spark, np.random.default_rng(4).normal(size=(50, 3)))
+    made = lambda: (balls.triangle_sums(points, [1.5]).collect(), balls.edge_sums(points, [1.5], "center_labeled", 0.5, True).collect(), balls.signed_faces(points, [1.5]).collect())
+    tidy = lambda parts: [sorted(tuple(round(x, 6) for x in r) for r in part) for part in parts]
+    whole, kept = tidy(made()), (balls.TILE, balls.CENTRES)
+    try:
+        balls.TILE, balls.CENTRES = 8, 3
+        assert tidy(made()) == whole
+    finally:
+        balls.TILE, balls.CENTRES = kept
