@@ -67,10 +67,14 @@ def bootstrap_mean(values: DataFrame, value: str, keys: list[str], reps: int = C
 def bootstrap_samples(values: DataFrame, value: str, position: str, reps: int, n: int) -> DataFrame:
     """(rep, mean) of resamples drawn by a fixed integer recurrence on (rep, position): the same in any SQL engine. The
     draws are a test device, not a random sample."""
-    spark = values.sparkSession
-    draws = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-    index = ((F.col("rep") * 1103515245 + F.col("k") * 12345 + 12345) % 2147483648) % n
-    return draws.select("rep", index.alias(position)).join(values, position).groupBy("rep").agg(F.avg(value).alias("mean"))
+    spark, block = values.sparkSession, 4096  # positions of a sequence, so that none holds all of them
+    steps = lambda a, b, by=1: F.explode(F.sequence(a, b, F.lit(by).cast("long")))
+    last = F.lit(max(n, 1) - 1).cast("long")
+    draws = spark.range(reps if n else 0).select(F.col("id").alias("rep"), steps(F.lit(0).cast("long"), last, block).alias("b"))
+    draws = draws.select("rep", steps(F.col("b"), F.least(F.col("b") + block - 1, last)).alias("k"))
+    index = ((F.col("rep") * 1103515245 + F.col("k") * 12345 + 12345) % 2147483648) % max(n, 1)
+    # the draws, reps times as many as the values, look small to the optimizer, which would send them to the driver to broadcast
+    return draws.select("rep", index.alias(position)).join(values.hint("shuffle_hash"), position).groupBy("rep").agg(F.avg(value).alias("mean"))
 
 
 def bootstrap_p_value(samples: DataFrame, null_value: float, alternative: str, observed: float | None = None) -> DataFrame:
