@@ -184,13 +184,14 @@ def tree_tables(model) -> tuple[list[dict], list[float]]:
 
 
 def tree_shap(tree: dict, x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of one tree for one row.
+    """Path-dependent Shapley values of one tree for one row, or for each of many.
 
     Each leaf is a product over the features on its path: one minus or plus the share of rows that follow. The value of
     a feature is the sum over leaves of its marginal in that product, with the Shapley weight of each subset size, which
-    comes from the coefficients of the polynomial of the other features.
+    comes from the coefficients of the polynomial of the other features. All rows go through a leaf at once.
     """
-    phi = np.zeros(len(x))
+    rows = np.atleast_2d(x)
+    phi = np.zeros(rows.shape)
     leaves: list[tuple[int, dict]] = []
     stack = [(0, {})]
     while stack:
@@ -199,20 +200,24 @@ def tree_shap(tree: dict, x: np.ndarray) -> np.ndarray:
             leaves.append((node, path))
             continue
         f = tree["feature"][node]
-        for child, follows in ((tree["left"][node], x[f] <= tree["threshold"][node]), (tree["right"][node], x[f] > tree["threshold"][node])):
+        below = rows[:, f] <= tree["threshold"][node]
+        for child, follows in ((tree["left"][node], below), (tree["right"][node], ~below)):
             zero, one = path.get(f, (1.0, 1.0))
             stack.append((child, path | {f: (zero * tree["cover"][child] / tree["cover"][node], one * follows)}))
     for node, path in leaves:
         fs = list(path)
         m = len(fs)
-        for i, f in enumerate(fs):
-            poly = np.ones(1)
-            for j, g in enumerate(fs):
-                if j != i:
-                    poly = np.convolve(poly, (path[g][0], path[g][1]))
-            weight = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
-            phi[f] += tree["value"][node] * (path[f][1] - path[f][0]) * float((poly * weight).sum())
-    return phi
+        weight = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
+        for f in fs:
+            poly = np.zeros((len(rows), m))
+            poly[:, 0] = 1.0
+            for g in fs:
+                if g != f:
+                    longer = poly * path[g][0]
+                    longer[:, 1:] += poly[:, :-1] * np.reshape(path[g][1], (-1, 1))
+                    poly = longer
+            phi[:, f] += tree["value"][node] * (path[f][1] - path[f][0]) * (poly @ weight)
+    return phi if np.ndim(x) > 1 else phi[0]
 
 
 def _choose(n: int, k: int) -> int:
@@ -229,7 +234,7 @@ def shapley(df: DataFrame, model, features: list[str], keep: list[str]) -> DataF
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             x = pdf[features].to_numpy(float)
-            values = np.array([sum(w * tree_shap(t, r) for t, w in zip(trees, weights, strict=True)) for r in x]).reshape(len(x), len(features))
+            values = sum((w * tree_shap(t, x) for t, w in zip(trees, weights, strict=True)), np.zeros(x.shape))
             yield pdf[keep].assign(shap=list(values), shap_abs=np.abs(values).sum(axis=1), shap_sum=values.sum(axis=1))
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "shap array<double>, shap_abs double, shap_sum double"])
