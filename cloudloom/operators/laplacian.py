@@ -10,7 +10,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+from ..functions.windows import min_max, position
+from .balls import laplacian_entries
 from .spectral import laplacians, local_spectra, spectrum_statistics
 
 # Names of filtrations.
@@ -72,11 +76,27 @@ def _by_group(points: DataFrame, group: str, order: str, coordinates: list[str],
     return own.groupBy(group).applyInPandas(run, f"{group} {kind}, {schema}")
 
 
+def _entries(points: DataFrame, group: str, order: str, coordinates: list[str], label: str | None, radii: list[float], p: float, constant: bool, scale: bool) -> DataFrame:
+    """cloud_matrices() of degree 0 by neighbouring points; ids are places in the group's order."""
+    Cloud(np.zeros((0, 3)), radii=radii, p=p)  # refuses what a cloud refuses
+    held = lambda c, text: F.when(finite(F.col(c)), F.col(c).cast("double")).otherwise(F.raise_error(F.lit(text)).cast("double"))
+    axes = [held(c, "points must be a two-dimensional array of finite numbers").alias(a) for a, c in zip("xyz", coordinates, strict=False)]
+    axes += [F.lit(0.0).alias(a) for a in "xyz"[len(coordinates) :]]
+    own = F.lit(0.0) if label is None or constant else held(label, "labels must be finite, one for each point")
+    rows = points.select(F.col(group).alias("grp"), position([group], [order]).cast("long").alias("id"), *axes, own.alias("label"))
+    if scale:
+        rows = rows.withColumn("label", min_max("label", ["grp"]))
+    return laplacian_entries(rows, radii, p).withColumnRenamed("grp", group)
+
+
 def cloud_matrices(points: DataFrame, group: str, order: str, coordinates: list[str], label: str | None, radii: list[float], p: float = 0.0, degree: int = 0, constant: bool = True, scale: bool = False) -> DataFrame:
     """(group, radius, i, j, value): the entries that are not zero of each group's Laplacian, simplices numbered from 0 in order.
 
-    A group is one cloud and fits a task (MAX_CELLS).
+    Degree 0 of clouds of up to three dimensions at finite radii comes from the pairs within the largest radius, a few rows at a
+    time. Otherwise a group is one cloud and fits a task (MAX_CELLS).
     """
+    if degree == 0 and len(coordinates) <= 3 and np.isfinite(radii).all():
+        return _entries(points, group, order, coordinates, label, radii, p, constant, scale)
 
     def rows(cloud: Cloud) -> list[tuple]:
         out = []
