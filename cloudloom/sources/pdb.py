@@ -43,6 +43,26 @@ def _field(name: str) -> Column:
     return F.substring("line", at, width)
 
 
+def hybrid36(number: Column, width: int) -> Column:
+    """Serial and residue numbers as text of their column's width: decimal while that is wide enough, then base 36 with a
+    first letter in upper case, then in lower case, as hybrid-36 has it; beyond that an error."""
+    ten, letters = 10**width, 26 * 36 ** (width - 1)
+    base = lambda n: F.conv((n - ten + 10 * 36 ** (width - 1)).cast("string"), 10, 36)
+    n = number.cast("long")
+    text = F.when(n < ten, F.lpad(n.cast("string"), width, " ")).when(n < ten + letters, F.upper(base(n))).when(n < ten + 2 * letters, F.lower(base(n - letters)))
+    return F.when((n > -(ten // 10)) & (n < ten + 2 * letters), text).when(n.isNotNull(), F.raise_error(F.concat(F.lit("too large for its column: "), n.cast("string"))))
+
+
+def _whole_number(name: str) -> Column:
+    """A number of hybrid36(), or null."""
+    width, text = FIELDS[name][1], _field(name)
+    digits = F.conv(text, 36, 10).cast("long")
+    upper = text.rlike(f"^[A-Z][0-9A-Z]{{{width - 1}}}$")
+    lower = text.rlike(f"^[a-z][0-9a-z]{{{width - 1}}}$")
+    n = F.when(upper, digits - 10 * 36 ** (width - 1) + 10**width).when(lower, digits + 16 * 36 ** (width - 1) + 10**width)
+    return F.coalesce(n.cast("int"), F.trim(text).try_cast("int"))
+
+
 def parse_atoms(atom_lines: DataFrame, malformed: str = "fallback", atoms_only: bool = False, index_base: int = 1) -> DataFrame:
     """Residues of (protein_id, line_number, line).
 
@@ -57,10 +77,10 @@ def parse_atoms(atom_lines: DataFrame, malformed: str = "fallback", atoms_only:
     ca = atom_lines.where(wanted)
     number = lambda n, kind: F.trim(_field(n)).try_cast(kind)
     fixed = F.struct(
-        number("atom_serial", "int").alias("atom_serial"),
+        _whole_number("atom_serial").alias("atom_serial"),
         F.coalesce(F.nullif(F.trim(_field("residue_name")), F.lit("")), F.lit("UNK")).alias("residue_name"),
         F.coalesce(F.nullif(F.trim(_field("chain_id")), F.lit("")), F.lit("_")).alias("chain_id"),
-        number("residue_number", "int").alias("residue_number"),
+        _whole_number("residue_number").alias("residue_number"),
         F.trim(_field("insertion_code")).alias("insertion_code"),
         *[number(n, "double").alias(n) for n in ("x", "y", "z", "b_factor")],
     )

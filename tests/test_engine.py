@@ -386,3 +386,32 @@ def test_tiles_of_balls_do_not_change_them(spark):
         assert tidy(made()) == whole
     finally:
         balls.TILE, balls.CENTRES = kept
+
+
+def test_numbers_wider_than_their_columns(spark):
+    n = [0, 7, 9999, 10000, 99999, 100000, 1223055, 1223056, 2436111]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(n)], "line_number int, k int")
+    text = F.format_string("ATOM  %5s  CA  ALA A%4s    %8.3f%8.3f%8.3f%6.2f%6.2f", pdb.hybrid36(F.col("k") + 90000, 5), pdb.hybrid36(F.col("k"), 4), *[F.lit(float(i)) for i in range(5)])
+    got = pdb.parse_atoms(df.select(F.lit("s").alias("protein_id"), "line_number", text.alias("line"))).orderBy("residue_index").collect()
+    assert [(r["atom_serial"], r["residue_number"], r["x"], r["b_factor"]) for r in got] == [(k + 90000, k, 0.0, 4.0) for k in n]
+    assert df.limit(1).select(pdb.hybrid36(F.lit(100000), 5)).first()[0] == "A0000"
+    with pytest.raises(Exception, match="too large"):
+        df.select(pdb.hybrid36(F.col("k"), 3)).collect()
+
+
+def test_draws_are_not_broadcast(spark):
+    values = spark.range(9001).select(F.col("id").alias("pos"), (F.col("id") % 7).cast("double").alias("m"))
+    samples = resampling.bootstrap_samples(values, "m", "pos", 3, 9001)
+    assert "BroadcastHashJoin" not in samples._jdf.queryExecution().toString()
+    want = {r: np.mean([((r * 1103515245 + k * 12345 + 12345) % 2147483648 % 9001) % 7 for k in range(9001)]) for r in range(3)}
+    assert {r["rep"]: round(r["mean"], 9) for r in samples.collect()} == {r: round(v, 9) for r, v in want.items()}
+    assert resampling.bootstrap_samples(values.limit(0), "m", "pos", 3, 0).count() == 0
+
+
+def test_shapley_values_of_many_rows_at_once():
+    tree = {"left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]), "feature": np.array([0, -1, 1, -1, -1]), "threshold": np.array([0.5, 0, 0.2, 0, 0]), "value": np.array([0, 1.0, 0, 5.0, 9.0]), "cover": np.array([10.0, 4, 6, 2, 4])}
+    rows = np.random.default_rng(0).random((50, 2))
+    values = models.tree_shap(tree, rows)
+    assert np.allclose(values, [models.tree_shap(tree, r) for r in rows])
+    told = np.where(rows[:, 0] <= 0.5, 1.0, np.where(rows[:, 1] <= 0.2, 5.0, 9.0))
+    assert np.allclose(values.sum(axis=1), told - (0.4 * 1 + 0.2 * 5 + 0.4 * 9))
