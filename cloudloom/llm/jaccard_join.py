@@ -31,6 +31,7 @@ columns are ignored. An empty table gives an empty result. Shingles are 64-bit h
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components, near_labels
-from .ngram_rows import block_words, blocks, doc_ids, gram_rows, replies, totals
+from .ngram_rows import block_words, blocks, doc_ids, totals, written_replies
 from .shared import written
 
 SHORT = 16
@@ -243,10 +244,10 @@ class Join:
 def linked(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs; component_id is the smallest doc_id reachable by links."""
     blocked = blocks(docs)
-    grams = gram_rows(blocked, lambda row: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(row, size)]))
-    replied = written(replies(grams), "replies")
+    parts = written_replies(blocked, lambda row: np.concatenate([np.zeros(0, np.uint64), *shingle_sets(row, size)]), "replies")
+    replied = functools.reduce(DataFrame.unionByName, parts)
     made = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(profiles(size, num, den), PROFILE)
-    profile = written(made, "profiles", blocked, replied)
+    profile = written(made, "profiles", blocked, *parts)
     classes = written(profile.where(F.col("prefix").isNotNull()).dropDuplicates(["cid"]).drop("doc_id"), "classes")
     join = Join(classes, num, den)
     prefix_length = f"n - (({num}L * n + {den - 1}) div {den}) + 1"

@@ -16,6 +16,7 @@ columns are ignored. N-grams are 64-bit hashes: of n different ones, about n^2 /
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_rows import batch_of, block_words, blocks, doc_ids, gram_rows, grams_ending, replies, totals
+from .ngram_rows import batch_of, block_words, blocks, doc_ids, grams_ending, totals, written_replies
 from .shared import written
 
+#: Smaller than those of other operators: a task holds a block with the counts of each of its words.
+BLOCK_BYTES = 8 << 20
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double"
 PLACES = "block long, ord int, size int, ids binary, nulls binary, first binary, totals binary"
 
@@ -85,13 +88,14 @@ def scorer(order: int, total: int, alpha: float, min_count: int):
 
 def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """(doc_id, n_words, n_backoff, log_score, mean_score) of each row of docs; n_backoff counts words that skip an order."""
-    blocked = blocks(docs)
+    blocked = blocks(docs, BLOCK_BYTES)
     total = blocked.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     places = None
     for n in range(order, 0, -1):  # the order with most rows first, when least else is on disk
-        replied = written(replies(gram_rows(blocked, grams_of_order(n))), f"replies{n}")
+        parts = written_replies(blocked, grams_of_order(n), f"replies{n}")
+        replied = functools.reduce(DataFrame.unionByName, parts)
         met = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(place_totals(n), PLACES)
-        one = written(met, f"places{n}", replied, *([blocked] if n == 1 else []))
+        one = written(met, f"places{n}", *parts, *([blocked] if n == 1 else []))
         places = one if places is None else places.unionByName(one)
     found = places.groupBy("block").applyInArrow(scorer(order, total, alpha, min_count), SCORES)
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -24,6 +24,8 @@ from . import kernel
 from .shared import written
 
 BLOCK_BYTES = 16 << 20
+#: The n-gram rows are made and counted in so many parts by hash, one after the other, for less disk at once.
+PARTS = 2
 BLOCKS = "block long, n_words long, n_bytes long, ids binary, nulls binary, offsets binary, text binary"
 GRAMS = "block long, h long, c int"
 
@@ -34,7 +36,7 @@ def batch_of(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named, strict=True)], names=[n for n, _ in named])
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Input columns doc_id, text and uid, a number of the row that is unique."""
     seps, held, size = kernel.separators("space"), [], 0
 
@@ -50,7 +52,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, uid = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
         nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         for rows, data, offsets in kernel.chunks(batch):
-            if held and size + len(data) > BLOCK_BYTES:
+            if held and size + len(data) > block_bytes:
                 yield made()
                 held, size = [], 0
             held.append((uid[rows.start], ids[rows], nulls[rows], np.diff(offsets), data, len(kernel.Words(data, offsets, seps).starts)))
@@ -59,10 +61,10 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """BLOCKS of the columns doc_id and text, written."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
-    return written(rows.mapInArrow(_to_blocks, BLOCKS), "blocks")
+    return written(rows.mapInArrow(lambda batches: _to_blocks(batches, block_bytes), BLOCKS), "blocks")
 
 
 def texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +100,16 @@ def grams_ending(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return full, np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) >= n - 1
 
 
-def gram_rows(blocked: DataFrame, grams_of: Callable[[dict], np.ndarray]) -> DataFrame:
-    """GRAMS of each block; grams_of gives a block's n-grams, each as often as it counts."""
+def gram_rows(blocked: DataFrame, grams_of: Callable[[dict], np.ndarray], of: int = 0, parts: int = 1) -> DataFrame:
+    """GRAMS of each block, or those of one part of the hashes; grams_of gives a block's n-grams, each as often as it counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                unique, count = np.unique(grams_of(row), return_counts=True)
+                grams = grams_of(row)
+                if parts > 1:
+                    grams = grams[(grams >> np.uint64(32)) % np.uint64(parts) == of]
+                unique, count = np.unique(grams, return_counts=True)
                 for k in range(0, len(unique), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     yield batch_of(GRAMS, np.full(len(unique[part]), row["block"]), unique[part].view(np.int64), count[part].astype(np.int32))
@@ -118,6 +123,11 @@ def replies(grams: DataFrame) -> DataFrame:
     return counted.where(F.col("total") > F.col("c")).select("block", "h", "total")
 
 
+def written_replies(blocked: DataFrame, grams_of: Callable[[dict], np.ndarray], name: str) -> list[DataFrame]:
+    """replies() of the n-grams of all blocks, a written table for each part of the hashes."""
+    return [written(replies(gram_rows(blocked, grams_of, k, PARTS)), f"{name}-{k}") for k in range(PARTS)]
+
+
 def totals(unique: np.ndarray, count: np.ndarray, reply: pa.Table) -> np.ndarray:
     """Totals of a block's distinct n-grams, which are sorted, from its own counts and the replies to it."""
     out = count.astype(np.int64)

@@ -373,3 +373,14 @@ def test_quality_against_plain(spark):
     want = brute.quality(docs, set(quality.COMMON_WORDS), quality.CLASSES)
     rows = quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string"), carry=["doc_id"]).collect()
     assert {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"]) for r in rows} == want
+
+
+def test_parts_of_the_hashes_give_every_reply_once(spark):
+    from cloudloom.llm import lm_score, ngram_rows
+
+    docs = spark.createDataFrame([(i, f"a b c d w{i % 3} a b") for i in range(12)], "doc_id long, text string").repartition(4)
+    blocked = ngram_rows.blocks(docs, 1)
+    tidy = lambda dfs: sorted(tuple(r) for df in dfs for r in df.collect())
+    parts = ngram_rows.written_replies(blocked, lm_score.grams_of_order(2), "parts")
+    assert len(parts) == ngram_rows.PARTS > 1 and all(p.count() for p in parts)
+    assert tidy(parts) == tidy([ngram_rows.replies(ngram_rows.gram_rows(blocked, lm_score.grams_of_order(2)))])
