@@ -10,7 +10,7 @@ from cloudloom import FeatureConfig, features_for_points
 from cloudloom.demo import run as run_demo
 from cloudloom.functions import metrics, windows
 from cloudloom.functions.columns import float_list, number_label, short_number
-from cloudloom.operators import alignment, balls, laplacian, models, neighbors, protocols, resampling, spectral, summary
+from cloudloom.operators import alignment, balls, cones, laplacian, models, neighbors, protocols, resampling, spectral, summary
 from cloudloom.plans.config import strategy
 from cloudloom.sources import pdb, sinks, tables
 from cloudloom.streaming.structures import write_features
@@ -284,6 +284,32 @@ def test_dense_complexes_are_refused(monkeypatch):
         spectral.local_spectra(np.zeros((8, 3)), None, 1.0, 0.0, (1,))
 
 
+def test_cones_with_twins_have_the_spectra_of_whole_matrices():
+    rng = np.random.default_rng(1)
+    for trial in range(20):
+        xyz = rng.normal(size=(int(rng.integers(1, 12)), 3)) * 0.5
+        xyz = np.vstack((xyz, xyz[rng.integers(0, len(xyz), 6)] + 1e-9)) if trial % 2 else xyz
+        xyz = xyz[(xyz**2).sum(axis=1) <= 0.64]
+        if len(xyz):
+            near = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)) <= 0.8
+            for w, labels in ((1.0, None), (2.0, np.array([0.0] + [1.0] * len(xyz)))):
+                want = spectral.local_spectra(np.vstack((np.zeros((1, 3)), xyz)), labels, 0.8, 0.0, (0, 1, 2))
+                for k, made in cones.spectra(near, w, (0, 1, 2)).items():
+                    assert np.allclose(np.sort(np.repeat(made.values, made.times)), want[k], atol=1e-8)
+                    assert made.statistics(1e-8) == pytest.approx(spectral.spectrum_statistics(want[k]), abs=1e-8)
+
+
+def test_kernel_of_a_large_clump(spark):
+    # 45 near copies: 14,190 triangles, whose own matrix would hold more than MAX_CELLS numbers
+    points = cloud(spark, np.random.default_rng(0).normal(size=(45, 3)) * 1e-3)
+    rows = spectral.kernel_statistics(points, FeatureConfig((1.0,), "constant", "both", (1, 2))).collect()
+    assert len(rows) == 45 * 2 * 6
+    want = {"max": 45, "min": 45, "mean": 45, "median": 45, "std": 0}
+    for r in rows:
+        zeros = 0 if r["degree"] == 1 else 14190 - (990 - 45 + 1)
+        assert r["value"] == pytest.approx((want | {"zeros": zeros})[r["stat"]], abs=1e-6)
+
+
 def test_bootstrap_tests(spark):
     rng = np.random.default_rng(0)
     rows = [(m, g, float(v)) for m in ("auc_a", "odds_b", "spearman_c") for g, v in enumerate(rng.normal(0.8, 0.5, 12))] + [("auc_a", 12, float("nan")), ("auc_a", 13, None), ("smd_d", 0, None)]
