@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_WORD
+from .shared import NOT_WORD, written
 
 #: Sketch rows (24 bytes each) up to which the sketches are broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -66,6 +66,7 @@ def _contained(rows: DataFrame, items: DataFrame, size: int, threshold: float) -
     worded = rows.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc"), words(F.col("text")).alias("w"))
     seen = worded.select("doc", (F.size("w") - (size - 1)).alias("m"), F.explode(hashed(size)).alias("h"))
     pairs = seen.join(F.broadcast(sketch) if few else sketch, "h").where("m >= need").select("doc", "item").distinct()
+    pairs = written(pairs, "candidates")  # used twice below; every text is hashed for it
     # exact check on the words of candidate documents and items only
     of_item = items.select("item", F.explode(F.array_distinct(spelled(size))).alias("s"))
     wanted = pairs.join(of_item, "item").select("doc", "item", "s")

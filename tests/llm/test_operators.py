@@ -137,6 +137,14 @@ def test_containment(spark):
     assert {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in rows} == brute.contained(docs, items)
 
 
+def test_candidates_of_containment_are_found_once(spark):
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "x")])
+    out = decontaminate.contained(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))
+    # both uses read the written candidates, so no text is hashed again by the result's own plan
+    assert any("/candidates-" in f for f in out.inputFiles())
+    assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(1, 1), (2, 2)]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_stupid_backoff(spark, order):
     docs = random_texts(8, 40)
