@@ -5,9 +5,8 @@ at least ``min_count`` times in all documents, with log(alpha) added for each or
 c(w) / N, N the words of all documents. A document's score is the sum over its words.
 
 The documents scored are those counted, so a count of one is the place that is scored itself: ``min_count`` is 2, or what
-nothing else has would be sure. Every order has its own n-gram rows, count table and join (see ngram_rows), one order
-after the other: a block meets the totals of its n-grams and notes them by place. The orders' totals are then joined by
-block, and each document's places are summed.
+nothing else has would be sure. Every order has its own n-gram rows and counts, kept in bulk by block and range of hashes
+(see ngram_rows.bulk_totals). A block then meets the totals of its n-grams of all orders, and each document's places are summed.
 
 Words are white-space separated, A-Z lower-cased. Edge cases. Null or empty text: no words, log_score 0, mean null.
 Repeated rows and doc_ids are documents of their own. Null doc_ids are kept. An empty table gives an empty result. Extra
@@ -24,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_rows import batch_of, block_words, blocks, doc_ids, grams_ending, totals, written_replies
-from .shared import written
+from .ngram_rows import batch_of, block_words, blocks, bulk_totals, doc_ids, grams_ending, unpacked_totals
 
 #: Smaller than those of other operators: a task holds a block with the counts of each of its words.
 BLOCK_BYTES = 8 << 20
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double"
-PLACES = "block long, ord int, size int, ids binary, nulls binary, first binary, totals binary"
+#: Words of all documents to each range of hashes that n-grams are counted in; as many n-grams of an order at most.
+BUCKET_WORDS = 1 << 21
 
 
 def grams_of_order(n: int):
@@ -54,34 +53,24 @@ def word_scores(counts: list[np.ndarray], place: np.ndarray, total: int, alpha:
     return score + math.log(alpha) * (best - level), best - level
 
 
-def place_totals(n: int):
-    """The totals of the n-gram that ends at each word of a block, 0 where none does; with the least order its documents."""
-
+def scorer(order: int, total: int, alpha: float, min_count: int):
     def run(block: pa.Table, reply: pa.Table) -> pa.Table:
-        out = []
+        replied, out = reply.to_pylist(), []
         for row in block.to_pylist():
             h, first = block_words(row)
-            full, has = grams_ending(h, first, n)
-            unique, inverse, count = np.unique(full[has], return_inverse=True, return_counts=True)
-            every = np.zeros(len(h), np.int64)
-            every[has] = totals(unique, count, reply)[inverse]
-            documents = [row["ids"], row["nulls"], first.tobytes()] if n == 1 else [None] * 3
-            out.append((row["block"], n, len(h), *documents, pa.compress(every.tobytes(), codec="zstd", asbytes=True)))
-        return pa.Table.from_batches([batch_of(PLACES, *(zip(*out, strict=True) if out else [[]] * 7))])
-
-    return run
-
-
-def scorer(order: int, total: int, alpha: float, min_count: int):
-    def run(rows: pa.Table) -> pa.Table:
-        own = {row["ord"]: row for row in rows.to_pylist()}
-        counts = [np.frombuffer(pa.decompress(own[n]["totals"], 8 * own[n]["size"], codec="zstd", asbytes=True), np.int64) for n in range(1, order + 1)]
-        first = np.frombuffer(own[1]["first"], np.int64)
-        place = np.arange(len(counts[0])) - np.repeat(first[:-1], np.diff(first))
-        score, skipped = word_scores(counts, place, total, alpha, min_count)
-        sums = [float(score[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
-        backs = np.concatenate(([0], np.cumsum(skipped > 0)))
-        return pa.Table.from_batches([batch_of(SCORES, doc_ids(own[1]), np.diff(first), backs[first[1:]] - backs[first[:-1]], sums)])
+            counts = []
+            for n in range(1, order + 1):
+                full, has = grams_ending(h, first, n)
+                inverse = np.unique(full[has], return_inverse=True)[1]
+                every = np.zeros(len(h), np.int64)
+                every[has] = unpacked_totals([r for r in replied if r["ord"] == n])[inverse]
+                counts.append(every)
+            place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+            score, skipped = word_scores(counts, place, total, alpha, min_count)
+            sums = [float(score[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
+            backs = np.concatenate(([0], np.cumsum(skipped > 0)))
+            out.append(batch_of(SCORES, doc_ids(row), np.diff(first), backs[first[1:]] - backs[first[:-1]], sums))
+        return pa.Table.from_batches(out or [batch_of(SCORES, [], [], [], [])])
 
     return run
 
@@ -90,12 +79,8 @@ def scored(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     """(doc_id, n_words, n_backoff, log_score, mean_score) of each row of docs; n_backoff counts words that skip an order."""
     blocked = blocks(docs, BLOCK_BYTES)
     total = blocked.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    places = None
-    for n in range(order, 0, -1):  # the order with most rows first, when least else is on disk
-        parts = written_replies(blocked, grams_of_order(n), f"replies{n}")
-        replied = functools.reduce(DataFrame.unionByName, parts)
-        met = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(place_totals(n), PLACES)
-        one = written(met, f"places{n}", *parts, *([blocked] if n == 1 else []))
-        places = one if places is None else places.unionByName(one)
-    found = places.groupBy("block").applyInArrow(scorer(order, total, alpha, min_count), SCORES)
+    # one order after the other, for less disk at once
+    parts = [bulk_totals(blocked, n, max(16, total // BUCKET_WORDS), f"totals{n}") for n in range(order, 0, -1)]
+    replied = functools.reduce(DataFrame.unionByName, parts)
+    found = blocked.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(scorer(order, total, alpha, min_count), SCORES)
     return found.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -6,6 +6,7 @@
 * counts: the n-gram rows are hash-partitioned and sorted by n-gram; a window sums each n-gram's rows and sets the total
   beside each of them. That is the count table joined back to the n-grams, for one shuffle of narrow rows.
 * replies (block, h, total): only of n-grams that other blocks hold too; of all others a block knows the total itself.
+* bulk_totals do the same with the n-grams of a block and a range of hashes in one row, counted by a sort in each range.
 
 Rows are in proportion to the text. An n-gram that every document holds has one row a block, and the window
 spills what it holds of one n-gram.
@@ -28,6 +29,8 @@ BLOCK_BYTES = 16 << 20
 PARTS = 2
 BLOCKS = "block long, n_words long, n_bytes long, ids binary, nulls binary, offsets binary, text binary"
 GRAMS = "block long, h long, c int"
+BULK = "bucket long, block long, h binary, c binary"
+TOTALS = "block long, ord int, bucket long, n long, size long, totals binary"
 
 
 def batch_of(schema: str, *columns) -> pa.RecordBatch:
@@ -128,6 +131,56 @@ def written_replies(blocked: DataFrame, grams_of: Callable[[dict], np.ndarray],
     return [written(replies(gram_rows(blocked, grams_of, k, PARTS)), f"{name}-{k}") for k in range(PARTS)]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the least bytes that hold the largest of them; unpacked() needs to know how many they are."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(x.max(initial=0)) <= np.iinfo(k).max)
+    return x.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def bulk_totals(blocked: DataFrame, n: int, buckets: int, name: str) -> DataFrame:
+    """(block, ord, bucket, totals), written: the totals of a block's distinct n-grams of n words, in the order of their hashes,
+    by range of hashes. A block's n-grams of a range are one row of the shuffle, so each costs the bytes of its hash and its
+    count, and no row; what goes back is the totals alone."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                full, has = grams_ending(*block_words(row), n)
+                unique, count = np.unique(full[has], return_counts=True)
+                cuts = np.concatenate(([0], np.searchsorted(unique, edges), [len(unique)]))
+                own = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[k], cuts[k + 1]) for k in own]
+                yield batch_of(BULK, own, np.full(len(own), row["block"]), [unique[x].tobytes() for x in parts], [packed(count[x]) for x in parts])
+
+    def counted(rows: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, np.uint64) for x in rows.column("h").to_pylist()]
+        count = np.concatenate([unpacked(x, len(h)) for x, h in zip(rows.column("c").to_pylist(), hashes, strict=True)])
+        h = np.concatenate(hashes)
+        order = np.argsort(h)
+        ordered = h[order]
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        total = np.empty(len(h), np.int64)
+        total[order] = np.repeat(np.add.reduceat(count[order], starts), np.diff(np.append(starts, len(h))))
+        ends = np.cumsum([len(x) for x in hashes]).tolist()
+        raw = [packed(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        made = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+        sizes, lens = [len(x) for x in raw], [len(x) for x in hashes]
+        return pa.Table.from_batches([batch_of(TOTALS, rows.column("block").combine_chunks(), np.full(len(lens), n), rows.column("bucket").combine_chunks(), lens, sizes, made)])
+
+    return written(blocked.mapInArrow(grams, BULK).groupBy("bucket").applyInArrow(counted, TOTALS), name)
+
+
+def unpacked_totals(rows: list[dict]) -> np.ndarray:
+    """The totals of a block's distinct n-grams of one size, in the order of their hashes, from its rows of bulk_totals()."""
+    ordered = sorted(rows, key=lambda r: r["bucket"])
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(pa.decompress(r["totals"], r["size"], codec="zstd", asbytes=True), r["n"]) for r in ordered)])
+
+
 def totals(unique: np.ndarray, count: np.ndarray, reply: pa.Table) -> np.ndarray:
     """Totals of a block's distinct n-grams, which are sorted, from its own counts and the replies to it."""
     out = count.astype(np.int64)

@@ -392,3 +392,19 @@ def test_parts_of_the_hashes_give_every_reply_once(spark):
     parts = ngram_rows.written_replies(blocked, lm_score.grams_of_order(2), "parts")
     assert len(parts) == ngram_rows.PARTS > 1 and all(p.count() for p in parts)
     assert tidy(parts) == tidy([ngram_rows.replies(ngram_rows.gram_rows(blocked, lm_score.grams_of_order(2)))])
+
+
+def test_bulk_totals_count_ngrams_in_few_rows(spark):
+    from cloudloom.llm import lm_score, ngram_rows
+
+    docs = frame(spark, [(d, " ".join(f"w{(d * k) % 7}" for k in range(20)) + " z" * 300 * (d == 3)) for d in range(12)])
+    blocked = ngram_rows.blocks(docs, 1)
+    own = {r["block"]: np.unique(lm_score.grams_of_order(2)(r.asDict()), return_counts=True) for r in blocked.collect()}
+    want = {}
+    for h, count in own.values():
+        for x, c in zip(h.tolist(), count.tolist(), strict=True):
+            want[x] = want.get(x, 0) + c
+    rows = [r.asDict() for r in ngram_rows.bulk_totals(blocked, 2, 4, "bulk").collect()]
+    assert len(rows) <= 4 * len(own) and max(want.values()) > 255
+    for block, (h, _) in own.items():
+        assert ngram_rows.unpacked_totals([r for r in rows if r["block"] == block]).tolist() == [want[x] for x in h.tolist()]
