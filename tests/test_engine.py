@@ -10,7 +10,7 @@ from cloudloom import FeatureConfig, features_for_points
 from cloudloom.demo import run as run_demo
 from cloudloom.functions import metrics, windows
 from cloudloom.functions.columns import float_list, number_label, short_number
-from cloudloom.operators import alignment, balls, cones, laplacian, models, neighbors, protocols, resampling, spectral, summary
+from cloudloom.operators import alignment, balls, cones, laplacian, models, neighbors, places, protocols, resampling, spectral, summary
 from cloudloom.plans.config import strategy
 from cloudloom.sources import pdb, sinks, tables
 from cloudloom.streaming.structures import write_features
@@ -310,6 +310,45 @@ def test_kernel_of_a_large_clump(spark):
         assert r["value"] == pytest.approx((want | {"zeros": zeros})[r["stat"]], abs=1e-6)
 
 
+def test_least_and_median_without_all_eigenvalues(monkeypatch):
+    rng = np.random.default_rng(2)
+    whole, sides = np.linalg.eigvalsh, []
+    monkeypatch.setattr(np.linalg, "eigvalsh", lambda m: (sides.append(len(m)), whole(m))[1])
+    for n, twins in ((701, 0), (702, 60)):
+        xyz = rng.normal(size=(n, 3)) * 0.5
+        xyz = np.vstack((xyz, xyz[rng.integers(0, n, twins)]))
+        near = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)) <= 0.8
+        for w in (1.0, 2.0):
+            sides.clear()
+            got = cones.least_and_median(near, w, 1e-8)
+            assert max(sides) <= places.PIVOT  # none of the whole
+            edges = np.where(near, -1.0, 0.0)
+            np.fill_diagonal(edges, near.sum(axis=1) - 1)
+            want = np.concatenate(([0.0, w * (len(near) + 1)], w + whole(edges)[1:]))
+            want = spectral.spectrum_statistics(want)
+            assert got == pytest.approx({s: want[s] for s in ("min", "median")}, abs=1e-7)
+
+
+def test_eigenvalues_at_places_that_are_equal():
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.normal(size=(500, 500)))[0]
+    for values in (np.repeat(np.arange(100.0), 5), np.r_[np.arange(250), np.full(250, 250.3)], rng.normal(size=500) * 100):
+        matrix = (turn * values) @ turn.T
+        matrix = (matrix + matrix.T) / 2
+        every = np.sort(np.concatenate([values, [3.0, 3.0, 260.0]]))
+        for at in ([0], [1], [251, 252], [502]):
+            assert places.eigenvalues_at(matrix, np.array([260.0, 3.0, 3.0]), at) == pytest.approx(every[at], abs=1e-7)
+
+
+def test_kernel_of_small_and_cut_links():
+    for near in (np.ones((1, 1), bool), np.eye(5, dtype=bool), np.kron(np.eye(2, dtype=bool), np.ones((150, 150), bool))):
+        want = cones.spectra(near, 2.0, (0,))[0].statistics(1e-8)
+        got = cones.least_and_median(near, 2.0, 1e-8)
+        assert (got["min"], got["median"]) == pytest.approx((want["min"], want["median"]), abs=1e-7)
+    far = np.abs(np.subtract.outer(*[np.r_[np.linspace(0, 1, 300), np.linspace(9, 10, 300)]] * 2)) <= 0.2  # two parts: least is w
+    assert cones.least_and_median(far, 2.0, 1e-8)["min"] == pytest.approx(2.0, abs=1e-7)
+
+
 def test_bootstrap_tests(spark):
     rng = np.random.default_rng(0)
     rows = [(m, g, float(v)) for m in ("auc_a", "odds_b", "spearman_c") for g, v in enumerate(rng.normal(0.8, 0.5, 12))] + [("auc_a", 12, float("nan")), ("auc_a", 13, None), ("smd_d", 0, None)]
